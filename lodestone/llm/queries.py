@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, token_count
+from . import bpe_codec, embedding_dedup, html_text, mixing, tiff, token_count, url_filter
 
 QUERIES = {
     "op1_token_counts": token_count.op1,
+    "op2_mixing": mixing.op2,
+    "op3_tiff": tiff.op3,
+    "op4_url_filter": url_filter.op4,
+    "op7_embedding_dedup": embedding_dedup.op7,
     "op8_bpe_codec": bpe_codec.op8,
+    "op10_html_text": html_text.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.SQL}
