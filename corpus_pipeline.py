@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_codec, language_id, minhash_dedup, mixing, toxicity
-from lodestone.llm.common import fold, shared_dir, table
+from lodestone.llm.common import cut, fold, shared_dir, table
 
 ORACLE_SQL = None
 
@@ -39,11 +39,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter(~F.col("__lode_toxic")).select(*docs.columns)
 
 
+#: So many rejected keys at most are sent to every executor (16 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 3_000_000
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each class; rows without a doc_id can't be told apart and stay."""
-    found = minhash_dedup.near_duplicates(docs)
-    gone = found.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__lode_gone"))
-    return docs.join(gone, docs.doc_id == F.col("__lode_gone"), "left_anti").select(*docs.columns)
+    """Keeps the document of the smallest doc_id of each class, once if its row repeats; null keys and texts stay."""
+    found = cut(minhash_dedup.near_duplicates(docs).filter("doc_id IS NOT NULL AND text_hash IS NOT NULL"))
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("__lode_id"), F.col("text_hash").alias("__lode_gone")).distinct()
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+    marked = docs.withColumn("__lode_hash", minhash_dedup.text_hash(F.col("text")))
+    kept = marked.join(gone, (marked.doc_id == F.col("__lode_id")) & (marked["__lode_hash"] == F.col("__lode_gone")), "left_anti")
+    if found.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        lone = kept.filter("doc_id IS NULL OR __lode_hash IS NULL")
+        kept = kept.filter("doc_id IS NOT NULL AND __lode_hash IS NOT NULL").dropDuplicates(["doc_id", "__lode_hash"]).unionByName(lone)
+    return kept.select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,8 @@ class BpeCodec:
 
     def learn(self, words: list[str]) -> None:
         """Encodes words that aren't remembered yet, all of a batch together."""
+        if not words:
+            return
         guesses = [self.guess(w) for w in words]
         sizes = np.array([len(g) for g in guesses])
         flat = np.array([t for g in guesses for t in g], dtype=np.int64)

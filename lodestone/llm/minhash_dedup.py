@@ -21,7 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices, written
@@ -246,7 +246,8 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of df: its key, n_copies (rows of the same text, itself included), n_links (other rows linked
     directly: copies, and texts whose bags have a weighted Jaccard similarity of at least `threshold`), n_texts (the
-    different texts among these), class_id (the smallest key that links reach) and kept (whether it is that row).
+    different texts among these), class_id (the smallest key that links reach), kept (whether it is that row) and
+    text_hash.
 
     Null texts link with nothing. Empty texts, and texts without a word, are copies of their equals alone. Keys are
     integers; a row with a null key links with nothing, has no class and isn't kept; rows that repeat a key are
@@ -256,8 +257,7 @@ def near_duplicates(
     """
     m = bands * rows
     own = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    own = own.withColumn("node", F.when(F.col("id").isNotNull(), F.xxhash64("t", F.lit(9))))
-    own = own.withColumn("node", F.when(F.col("t").isNotNull(), F.col("node")))
+    own = own.withColumn("node", F.when(F.col("id").isNotNull(), text_hash(F.col("t"))))
     sketch = F.arrow_udf(_sketch(bands, rows, shingle), "keys array<long>, print binary")
     # One pass over the texts; what follows works on sketches.
     table = written(own.withColumn("s", sketch(F.coalesce("t", F.lit("")))).select("id", "node", "s.keys", "s.print"), "sketches")
@@ -306,9 +306,15 @@ def near_duplicates(
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
         first.alias("class_id"),
         F.coalesce(F.col("id") == first, F.lit(False)).alias("kept"),
+        F.col("node").alias("text_hash"),
     )
 
 
+def text_hash(text: Column) -> Column:
+    """The hash by which texts are told apart; null for null."""
+    return F.when(text.isNotNull(), F.xxhash64(text.cast("string"), F.lit(9)))
+
+
 def _repeats(known: DataFrame) -> bool:
     """Whether some key comes more than once with the same text."""
     return known.groupBy("node", "id").count().filter("count > 1").limit(1).count() > 0
