@@ -25,6 +25,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+#: These break no line of text and end no paragraph either.
+FLOWING = INLINE | set("script style template noscript svg iframe button input select textarea object audio video map canvas meta link".split())
 #: Elements that are never a part of the article.
 DROP = set("head title script style noscript template nav footer aside form iframe svg button select option textarea dialog menu canvas object audio video map noembed noframes datalist".split())
 MAIN = {"article", "main"}
@@ -74,7 +76,7 @@ class Page:
                     pieces.append(m.group()[9:].removesuffix("]]>"))
                 continue
             name = name.lower()
-            block = name not in INLINE
+            block = name not in FLOWING
             if m.group(1):
                 if name == "p" or name == "br":
                     pieces.append(" ")
@@ -82,7 +84,7 @@ class Page:
                     if stack[k][0] == name:
                         close(k)
                         break
-                    if not block and stack[k][0] not in INLINE:
+                    if name in INLINE and stack[k][0] not in INLINE:
                         break  # an inline end tag closes no block
                 if block:
                     pieces.append(" ")
