@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text
+from . import search, text
 
-QUERIES = {**text.QUERIES}
-ORACLES = {**text.ORACLES}
+QUERIES = {**text.QUERIES, **search.QUERIES}
+ORACLES = {**text.ORACLES, **search.ORACLES}
