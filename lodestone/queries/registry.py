@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search, text
+from . import data, search, text
 
-QUERIES = {**text.QUERIES, **search.QUERIES}
-ORACLES = {**text.ORACLES, **search.ORACLES}
+QUERIES = {**text.QUERIES, **search.QUERIES, **data.QUERIES}
+ORACLES = {**text.ORACLES, **search.ORACLES, **data.ORACLES}
