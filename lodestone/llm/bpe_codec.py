@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks of text between white space, and words, that a worker remembers before it forgets all of them.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Python's str.split() takes these for white space; the tokenizer doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -75,10 +76,13 @@ class BpeCodec:
         self.pair_keys, self.pair_made = keys[order], order + base
         self.rank = {(self.of[a], self.of[b]): base + k for k, (a, b) in enumerate(merges)}
         self.vocab_id = np.array([vocab[t] for t in self.of], dtype="<u4")
-        self.longest = max(len(t) - (len(self.suffix) - 1) * t.endswith(self.suffix) for t in self.of)
         # For matching, a word's end is one letter that no byte stands for.
         self.end = "\x00"
-        self.match = {(t[: -len(self.suffix)] + self.end if t.endswith(self.suffix) else t): k for t, k in self.of.items()}
+        match = {(t[: -len(self.suffix)] + self.end if t.endswith(self.suffix) else t): k for t, k in self.of.items()}
+        # All beginnings of tokens: those that are tokens with their number, others with -1.
+        self.begin = dict.fromkeys((t[:n] for t in match for n in range(1, len(t))), -1)
+        self.begin.update(match)
+        self.begin[self.end] = -1  # the word's end is no token of its own
         self.letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
         self.cut = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
         self.gaps = regex.compile(f"[{WHITE}]+")
@@ -96,36 +100,40 @@ class BpeCodec:
 
     def merged(self, tokens: list[int]) -> list[int]:
         """Exact merging: the earliest merge first, leftmost among equals."""
+        rank, none = self.rank.get, 1 << 40
         tokens = list(tokens)
-        while len(tokens) > 1:
-            best = min((self.rank.get(p, 1 << 40), k) for k, p in enumerate(zip(tokens, tokens[1:])))
-            if best[0] == 1 << 40:
+        ranks = [rank(p, none) for p in zip(tokens, tokens[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            out, k = [], 0
-            a, b = self.left[best[0]], self.right[best[0]]
-            while k < len(tokens):
-                if k + 1 < len(tokens) and tokens[k] == a and tokens[k + 1] == b:
-                    out.append(best[0])
-                    k += 2
-                else:
-                    out.append(tokens[k])
-                    k += 1
-            tokens = out
+            k = ranks.index(best)
+            tokens[k : k + 2] = (best,)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank((tokens[k - 1], best), none)
+            if k < len(ranks):
+                ranks[k] = rank((best, tokens[k + 1]), none)
         return tokens
 
     def guess(self, word: str) -> list[int]:
-        """Greedy longest match."""
-        s, match, k, out = word + self.end, self.match, 0, []
-        n = len(s)
+        """Greedy longest match: as far as some token goes on, the last whole token on the way."""
+        s, begin, k, out = word + self.end, self.begin.get, 0, []
+        n, inner = len(s), len(word)
         while k < n:
-            for j in range(min(n, k + self.longest), k, -1):
-                t = match.get(s[k:j])
-                if t is not None and j != n - 1:  # the word's end is no token of its own
-                    out.append(t)
-                    k = j
+            j, best, at = k + 1, -1, k
+            t = begin(s[k:j])
+            while t is not None:
+                if t >= 0 and j != inner:
+                    best, at = t, j
+                j += 1
+                if j > n:
                     break
-            else:
+                t = begin(s[k:j])
+            if best < 0:
                 return []
+            out.append(best)
+            k = at
         return out
 
     def is_sound(self, t: int) -> bool:
@@ -196,6 +204,17 @@ class BpeCodec:
 
     def pretokens(self, chunk: str) -> list[str | int]:
         """Words of a chunk between white space, in letters for bytes; special strings as their ids."""
+        # Letters alone, or with one sign after them, need no regular expression.
+        head = chunk[:-1]
+        if chunk.isalpha():
+            plain: tuple[str, ...] = (chunk,)
+        elif head.isalpha() and chunk[-1] in ".,;:!?":
+            plain = (head, chunk[-1])
+        else:
+            plain = ()
+        if plain and chunk.isascii():
+            low = plain[0].lower()
+            return [low, *plain[1:]]
         out: list[str | int] = []
         for part in self.parts.split(chunk) if "<|" in chunk else (chunk,):
             if part in self.special:
@@ -208,6 +227,9 @@ class BpeCodec:
     def split(self, text: str) -> list[str]:
         return [x for x in self.gaps.split(text) if x] if any(c in text for c in ODD) else text.split()
 
+    def forget(self) -> None:
+        self.words, self.chunks = {}, {}
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.chunks) > REMEMBERED:
@@ -240,24 +262,24 @@ DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def _encoded(file: str, digest: bool):
-    from .common import slices, texts_of
+    from .common import release, text_lists
 
-    def run(col: pa.Array) -> pa.Array:
-        c, n, ids, decoded = codec(file), [], [], []
-        texts = texts_of(col)
-        for a, b in slices(texts):
-            for raw in c.encode_batch(texts[a:b]):
-                n.append(len(raw) // 4)
-                text = c.decode(raw)
-                if digest:
-                    ids.append(hashlib.sha256(raw).hexdigest())
-                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
-                else:
-                    ids.append(np.frombuffer(raw, "<i4"))
-                    decoded.append(text)
+    def run(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = codec(file)
         kind = pa.string() if digest else pa.list_(pa.int32())
         names = [x.split()[0] for x in (DIGEST if digest else ENCODED).split(", ")]
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], names)
+        for col in cols:
+            n, ids, decoded = [], [], []
+            for texts in text_lists(col, 1 << 20, 4096):
+                for raw in c.encode_batch(texts):
+                    n.append(len(raw) // 4)
+                    text = c.decode(raw)
+                    ids.append(hashlib.sha256(raw).hexdigest() if digest else np.frombuffer(raw, "<i4"))
+                    decoded.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], names)
+        # A worker lives on after its task; what it remembers would take room from other stages.
+        c.forget()
+        release()
 
     return run
 
@@ -269,6 +291,9 @@ def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False) -
     is kept, repeated ones too; columns named as the new ones are replaced and all others pass through. An empty
     table gives an empty table. Special strings inside a text become their special ids.
     """
+    from .common import modest_batches
+
+    modest_batches(df)
     kind = DIGEST if digest else ENCODED
     made = F.arrow_udf(_encoded(file, digest), kind)(F.col(text).cast("string"))
     at = "__lode_encoded"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +52,29 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def texts_of(col: pa.Array) -> list[str]:
-    """The strings of an Arrow column, null as empty."""
-    return ["" if x is None else x for x in col.to_pylist()]
+#: Rows of whole texts that are sent to a Python worker at a time, at most.
+BATCH_ROWS = 1000
+
+
+def modest_batches(df: DataFrame) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS if they are larger: texts are long, and a worker, and the
+    executor that feeds it, hold a batch as a whole. Results don't depend on it."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
+def text_lists(col: pa.Array, chars: int = 1 << 19, rows: int = 512):
+    """The strings of an Arrow column, null as empty, in lists of about so many bytes and at most so many rows."""
+    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    at, n = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > at and (n + size > chars or k - at >= rows):
+            yield ["" if x is None else x for x in col.slice(at, k - at).to_pylist()]
+            at, n = k, 0
+        n += size
+    if at < len(sizes):
+        yield ["" if x is None else x for x in col.slice(at).to_pylist()]
 
 
 def keep_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
@@ -60,6 +82,20 @@ def keep_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.withColumns(new)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on after its task, and other stages want the room."""
+    global _trim
+    if _trim is None:
+        try:
+            _trim = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):
+            _trim = int
+    _trim(0)
+
+
+_trim = None
+
+
 def slices(texts: list[str], chars: int = 1 << 20):
     """Ranges of texts of about so many characters, one text at least."""
     at, n = 0, 0

@@ -212,8 +212,9 @@ def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str
     is kept, repeated ones too; a column named as `out` is replaced, others pass through; an empty table gives an
     empty table. `key` need not be unique or non-null: it isn't used but for joining, with all its equals alike.
     """
-    from .common import cut
+    from .common import cut, modest_batches
 
+    modest_batches(df)
     host = host_and_path(F.col(url).cast("string"))[0]
     keys = cut(recurring(df, host, source, min_pages, min_share))
     if keys.count() <= most_broadcast:

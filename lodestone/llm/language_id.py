@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices
+from .common import modest_batches, release, text_lists
 
 BITS = 12
 DIM = 1 << BITS
@@ -146,8 +146,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     ids = ranked.filter(F.col("r") <= per_language).orderBy("r", "l").limit(most_rows).select("k").distinct()
 
     def made(col: pa.Array) -> pa.Array:
-        texts = [x.as_py() for x in col]
-        return pa.array([v.tobytes() for a, b in slices(texts) for v in vectors(texts[a:b])], pa.binary())
+        return pa.array([v.tobytes() for texts in text_lists(col, rows=256) for v in vectors(texts)], pa.binary())
 
     few = rows.join(F.broadcast(ids), "k").filter(F.col("t").rlike(r"\p{L}"))  # at most most_rows keys
     found = few.select("l", F.arrow_udf(made, "binary")("t").alias("v")).orderBy("l", F.xxhash64("v")).limit(2 * most_rows).collect()
@@ -162,15 +161,16 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", out: str =
     was learned. Equal texts get equal answers; every row is kept. Columns named as the new ones are replaced, others
     pass through and are never looked at. An empty table gives an empty table.
     """
+    modest_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(col: pa.Array) -> pa.Array:
-        texts = ["" if x is None else x for x in col.to_pylist()]
         langs, scores = [], []
-        for a in range(0, len(texts), 256):
-            l, s = shared.value.predict(texts[a : a + 256])
+        for texts in text_lists(col, rows=256):
+            l, s = shared.value.predict(texts)
             langs += l
             scores += s.tolist()
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["l", "s"])
 
     at = "__lode_lang"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, written
+from .common import cut, modest_batches, release, text_lists, written
 from .components import by_tile, components, forest, tiled
 from .numtext import U, Words, mix, salted
 
@@ -110,21 +110,20 @@ def _sketch(bands: int, rows: int, shingle: int):
 
     def run(col: pa.Array) -> pa.Array:
         keys, prints = [], []
-        texts = col.to_pylist()
-        for a, b in slices(texts, 1 << 20):
-            for c in range(a, b, 512):
-                sets = bags(texts[c : min(b, c + 512)], shingle)
-                sig = signatures(sets, m)
-                x = mix(sig.view(np.uint64))
-                key = np.zeros((len(x), bands), U)
-                for j in range(rows):
-                    key = mix(key * U(0x9E3779B97F4A7C15) + x[:, j::rows] + U(j + 1))
-                key = mix(key + np.arange(1, bands + 1, dtype=U) * U(0xD6E8FEB86659FD93)).view(np.int64)
-                nibble = (x >> U(60)).astype(np.uint8)
-                packed = (nibble[:, 0::2] << 4 | nibble[:, 1::2]) if m % 2 == 0 else nibble
-                for s, k, p in zip(sets, key, packed):
-                    keys.append(k if len(s[0]) else k[:0])
-                    prints.append(p.tobytes())
+        for texts in text_lists(col):
+            sets = bags(texts, shingle)
+            sig = signatures(sets, m)
+            x = mix(sig.view(np.uint64))
+            key = np.zeros((len(x), bands), U)
+            for j in range(rows):
+                key = mix(key * U(0x9E3779B97F4A7C15) + x[:, j::rows] + U(j + 1))
+            key = mix(key + np.arange(1, bands + 1, dtype=U) * U(0xD6E8FEB86659FD93)).view(np.int64)
+            nibble = (x >> U(60)).astype(np.uint8)
+            packed = (nibble[:, 0::2] << 4 | nibble[:, 1::2]) if m % 2 == 0 else nibble
+            for s, k, p in zip(sets, key, packed):
+                keys.append(k if len(s[0]) else k[:0])
+                prints.append(p.tobytes())
+        release()
         return pa.StructArray.from_arrays([pa.array(keys, pa.list_(pa.int64())), pa.array(prints, pa.binary())], ["keys", "print"])
 
     return run
@@ -255,6 +254,7 @@ def near_duplicates(
     are ignored. An empty table gives an empty table. Texts are told apart by 64-bit hashes: of 10^9 different texts,
     one pair in 37 such tables would be taken for equal.
     """
+    modest_batches(df)
     m = bands * rows
     own = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     own = own.withColumn("node", F.when(F.col("id").isNotNull(), text_hash(F.col("t"))))
@@ -281,9 +281,10 @@ def near_duplicates(
     few = F.broadcast(near) if near.count() <= most_broadcast else near
 
     def bag(col: pa.Array) -> pa.Array:
-        out, texts = [], col.to_pylist()
-        for a, b in slices(texts):
-            out += [np.sort(multiset(h, c)).tobytes() for h, c in bags(texts[a:b], shingle)]
+        out = []
+        for texts in text_lists(col):
+            out += [np.sort(multiset(h, c)).tobytes() for h, c in bags(texts, shingle)]
+        release()
         return pa.array(out, pa.binary())
 
     # The bag of each class in a component, from the row of its smallest key.

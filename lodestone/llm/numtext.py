@@ -28,7 +28,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            n = max(n, 1 << 16)
+            n = max(n, PIECE + (1 << 14))
             inverse = pow(_BASE, -1, 1 << 64)
             cls.up = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, U(_BASE))]))
             cls.down = np.cumprod(np.concatenate([np.ones(1, U), np.full(n, U(inverse))]))
@@ -39,7 +39,7 @@ class _Powers:
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 #: A text longer than this is hashed in pieces that end between words.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 class Words:

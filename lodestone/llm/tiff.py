@@ -404,6 +404,9 @@ def media_digest(df: DataFrame, text: str = "text") -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in DIGEST.split(", ")])
 
+    from .common import modest_batches
+
+    modest_batches(df)
     at = "__lode_media"
     made = df.withColumn(at, F.arrow_udf(run, DIGEST)(F.col(text).cast("string")))
     return made.withColumns({n: F.col(at)[n] for n in (x.split()[0] for x in DIGEST.split(", "))}).drop(at)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,9 +105,17 @@ def token_counts(df: DataFrame, model_file: str, text: str = "text", out: str =
     model_file must be readable by that path on every executor.
     """
 
-    def count(col: pa.Array) -> pa.Array:
+    from .common import modest_batches, release
+
+    modest_batches(df)
+
+    def count(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = counter(model_file)
-        return pa.array((0 if t is None else c.count(t) for t in (x.as_py() for x in col)), pa.int64())
+        for col in cols:
+            yield pa.array((0 if t is None else c.count(t) for t in (x.as_py() for x in col)), pa.int64())
+        # A worker lives on after its task; what it remembers would take room from other stages.
+        c.clear()
+        release()
 
     return df.withColumn(out, F.arrow_udf(count, LongType())(F.col(text).cast("string")))
 
