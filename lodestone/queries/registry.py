@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import data, search, text
+from . import data, flows, search, text
 
-QUERIES = {**text.QUERIES, **search.QUERIES, **data.QUERIES}
-ORACLES = {**text.ORACLES, **search.ORACLES, **data.ORACLES}
+QUERIES = {**text.QUERIES, **search.QUERIES, **data.QUERIES, **flows.QUERIES}
+ORACLES = {**text.ORACLES, **search.ORACLES, **data.ORACLES, **flows.ORACLES}
