@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import models
+from ..durable import written
 from ..functions import chunking as c
 from ..functions import classify as p
 from ..functions import text as t
@@ -65,11 +66,13 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: dict[str, DataFrame],
         full = fused.join(chunks.select("chunk_id", "text", "document_name"), "chunk_id").join(q.select("query_id", "query", "intent"), "query_id")
         return r.rerank(full, scorer, k)
 
-    first = once(asked, "expanded_query")
+    # What is asked and what is found is used several times, and is as small as the questions are few.
+    asked = written(asked, "asked")
+    first = written(once(asked, "expanded_query"), "first")
     best = first.groupBy("query_id").agg(F.max("score").alias("top"))
     weak = asked.join(best, "query_id", "left").filter(F.coalesce("top", F.lit(0.0)) < second_below)
     weak = weak.withColumn("words", F.array_join(p.signal_terms(F.lower("query"), F.col("entities")), " ")).filter("words <> ''")
-    second = once(weak, "words")
+    second = written(once(written(weak, "weak"), "words"), "second")
     both = best.select("query_id", "top", F.lit(1).alias("pass")).unionByName(second.groupBy("query_id").agg(F.max("score").alias("top")).withColumn("pass", F.lit(2)))
     win = both.groupBy("query_id").agg(F.max(F.struct("top", -F.col("pass"))).alias("w")).select("query_id", (-F.col("w.col2")).alias("pass"))
     out = first.withColumn("pass", F.lit(1)).unionByName(second.withColumn("pass", F.lit(2)))
@@ -78,11 +81,12 @@ def retrieve(queries: DataFrame, chunks: DataFrame, index: dict[str, DataFrame],
 
 def answer(hits: DataFrame, queries: DataFrame, generator=models.first_sentence, provider: str = "local") -> DataFrame:
     """Answers to queries from their ranked chunks: budget, context, generation, grounding, confidence, sources."""
-    used = g.select_chunks(hits, g.BUDGETS[provider])
+    used = written(g.select_chunks(hits, g.BUDGETS[provider]), "used")
     ctx = g.build_context(used.withColumn("section_title", F.lit(None).cast("string")))
     q = queries.select("query_id", "query").join(hits.groupBy("query_id").agg(F.first("intent").alias("intent"), F.max("score").alias("top")), "query_id", "left")
     j = q.join(ctx, "query_id", "left").join(g.footer(used), "query_id", "left").join(used.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
     j = j.withColumn("intent", F.coalesce("intent", F.lit("general"))).withColumn("answer", t.parse_answer(generator(g.prompt(F.col("intent"), F.coalesce("context", F.lit("")), F.col("query"))), F.col("intent")))
+    j = written(j, "answers")
     said = j.select("query_id", F.posexplode(g.answer_sentences(F.col("answer.sections"))).alias("pos", "sentence"))
     j = j.join(g.grounding(said, used), "query_id", "left")
     conf = p.confidence(F.coalesce("n", F.lit(0)), F.coalesce("top", F.lit(0.0)), F.size("answer.sections") > 0, F.col("answer.fallback").isNotNull())

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from .. import models
+from ..durable import folder
 from ..operators import search as r
 from ..plans import pipelines
 from ..sources import logs
@@ -29,12 +27,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def folder(spark, what: str) -> str:
-    """A fresh folder in the place that all executors share, a temporary one where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='lodestone-')}/{what}-{uuid.uuid4().hex}"
-
-
 @query("jsonl_roundtrip", "SELECT doc_id::VARCHAR AS query_id, text AS query, lang AS intent, n_chars::INTEGER AS chunks_used FROM documents")
 def jsonl_roundtrip(spark, d):
     path = folder(spark, "log")
@@ -87,12 +79,12 @@ def ingest(spark, d):
     return pipelines.ingest(docs, spark.createDataFrame([], logs.MANIFEST))["summary"]
 
 
-@query("stream_windows", "SELECT date_trunc('day', ts)::TIMESTAMPTZ AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("stream_windows", "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(spark, d):
     raw = events.read(spark, f"{d}/events.parquet*", spark.read.parquet(f"{d}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
     path = folder(spark, "windows")
     events.run(events.windows(raw), path, path + "-checkpoint", "complete").awaitTermination()
-    return spark.read.parquet(path).withColumn("total", F.round("total", 4))
+    return spark.read.parquet(path).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("stream_rate_limit", RATE_SQL.replace("SELECT event_id, user_id, admitted, retry_after FROM r", "SELECT event_id, user_id, admitted FROM r"))

@@ -26,9 +26,10 @@ def windows(stream: DataFrame, at: str = "ts", by: str = "event_type", value: st
     return out.select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def rate_limit(stream: DataFrame, key: str, at: str, tie: str, limit: int = 20, window: int = 60_000_000) -> DataFrame:
+def rate_limit(stream: DataFrame, key: str, at: str, tie: str, limit: int = 20, window: int = 60_000_000, expire: bool = False) -> DataFrame:
     """ST1 on a stream: (key, at, tie, admitted). The state of a key is its admitted times in the window, `limit` at
-    most; it is dropped when a key is idle for two windows (ST2)."""
+    most; with `expire` it is dropped when a key is idle for two windows (ST2). That is for streams without an end: a
+    run over all there is wouldn't end, as there is always a time to wait for."""
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     schema = f"{key} {kinds[key]}, {at} {kinds[at]}, {tie} {kinds[tie]}, admitted boolean"
 
@@ -46,10 +47,11 @@ def rate_limit(stream: DataFrame, key: str, at: str, tie: str, limit: int = 20,
             if admitted[-1]:
                 times.append(int(now))
         state.update((times,))
-        state.setTimeoutDuration(max(1000, 2 * window // 1000))
+        if expire:
+            state.setTimeoutDuration(max(1000, 2 * window // 1000))
         yield rows[[key, at, tie]].assign(admitted=admitted)
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "times array<long>", "append", "ProcessingTimeTimeout")
+    return stream.groupBy(key).applyInPandasWithState(step, schema, "times array<long>", "append", "ProcessingTimeTimeout" if expire else "NoTimeout")
 
 
 def run(out: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
