@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def newest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The last row of each key by version; by an aggregate, which combines before it shuffles."""
     rest = [c for c in df.columns if c not in keys]
-    top = df.groupBy(*keys).agg(F.max(F.struct(F.col(version).alias("__v"), *(F.col(c).alias(c) for c in rest))).alias("__x"))
+    top = df.groupBy(*keys).agg(F.max(F.struct(F.col(version).alias("__order"), *(F.col(c).alias(c) for c in rest))).alias("__x"))
     return top.select(*keys, *(F.col(f"__x.{c}").alias(c) for c in rest)).select(*df.columns)
 
 
