@@ -63,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source and the ids of each document of the mixture."""
-    coded = bpe_codec.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    coded = bpe_codec.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), decoding=False)
     return coded.select("doc_id", "source", "n_tokens", "ids")
 
 
