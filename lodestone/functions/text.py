@@ -53,16 +53,16 @@ def strip_page_headers(c: str | Column, inst: v.Institution = v.Institution()) -
     """T1."""
     c = chain(c, [(p, " ") for p in v.page_headers(inst)] + [(r"[ \t]+", " ")], "(?i)")
     c = chain(c, [(r"(?<!\n)\s+(" + w + r"\s+\d+\s*:)", "\n$1") for w in ("SECTION", "CHAPTER")])
-    return F.regexp_replace(c, r"(?i)(?<!\n)\s+(Annexure\s+[A-Z]+\s*:)", "\n$1")
+    return F.regexp_replace(c, rf"(?i)(?<!\n){v.GAP}(Annexure{v.GAP}{v.UP}+{v.PAD}:)", "\n$1")
 
 
 def clean_chunk(c: str | Column, inst: v.Institution = v.Institution()) -> Column:
     """T2."""
     c = strip_page_headers(c, inst)
     twice = r"Parameter\s+Details"
-    c = F.regexp_replace(c, rf"(?i)(?:^|\n)\s*{twice}\s*(?=\n(?:.*\n){{0,1}}.*?{twice})", "\n")
+    c = F.regexp_replace(c, rf"(?i)(?:^|\n){v.PAD}{twice}{v.PAD}(?=\n(?:.*\n)?.*?{twice})", "\n")
     c = F.regexp_replace(c, rf"(?i)(\n\s*{twice}\s*\n)(\s*{twice}\s*\n)+", "$1")
-    table = r"^[A-Za-z][A-Za-z\s/()]+\s{3,}.+"
+    table = rf"^{v.LET}[A-Za-z\s()/]+\s{{3,}}.+"
     c = F.array_join(F.transform(F.split(c, "\n"), lambda x: F.when(x.rlike(table), x).otherwise(F.regexp_replace(x, v.WS + "+", " "))), "\n")
     c = chain(c, [(r"\n{3,}", "\n\n"), (r"<[^>]+>", ""), ("\xa0", " "), ("​", "")])
     return F.regexp_replace(c, rf"^{v.WS}+|{v.WS}+$", "")
@@ -154,12 +154,12 @@ def labelled(c: str | Column, label: str, ignore_case: bool = True) -> Column:
 def research_tags(c: str | Column) -> Column:
     """T18."""
     c = col(c)
-    found = F.regexp_extract(c, r"(?is)Research Interests?:\s*(.+?)(?:\n\n|\nPublications?:|\nAwards?:|$)", 1)
+    found = F.regexp_extract(c, "(?is)" + v.INTERESTS, 1)
     stop = F.array(*(F.lit(w) for w in "and at for in of on or the to with".split()))
     tags = F.transform(F.split(found, "[,;•\n]"), lambda x: F.lower(F.trim(x)))
     tags = F.filter(tags, lambda x: (F.length(x) > 2) & ~F.array_contains(stop, x))
-    pubs = F.lower(F.regexp_extract(c, r"(?is)Publications?:\s*(.+?)(?:\nAwards?:|\nExperience:|$)", 1))
-    pubs = F.when(pubs != "", pubs).otherwise(F.lower(F.regexp_extract(c, r'(?s)"publications"\s*:\s*\{(.+?)\}', 1)))
+    pubs = F.lower(F.regexp_extract(c, "(?is)" + v.PUBLICATIONS, 1))
+    pubs = F.when(pubs != "", pubs).otherwise(F.lower(F.regexp_extract(c, '(?s)' + v.JSON_PUBLICATIONS, 1)))
     hit = [F.when(pubs.rlike("|".join(w)), f) for f, w in v.FIELD_WORDS]
     none = (F.size(tags) == 0) | ((F.size(tags) == 1) & F.contains(F.get(tags, F.lit(0)), F.lit("not specified")))
     return F.when(none, F.slice(F.array_compact(F.array(*hit)), 1, 5)).otherwise(F.slice(tags, 1, 10))
@@ -197,7 +197,7 @@ def bm25_tokens(c: str | Column) -> Column:
 def ground_tokens(c: str | Column) -> Column:
     """T25."""
     stop = F.array(*(F.lit(w) for w in v.GROUND_STOP))
-    found = F.regexp_extract_all(F.lower(col(c)), F.lit(r"[A-Za-z0-9][A-Za-z0-9\-/]*"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(col(c)), F.lit(v.GROUND_WORD), F.lit(0))
     return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
 
 

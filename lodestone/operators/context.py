@@ -67,7 +67,7 @@ def prompt(intent: Column, context: Column, query: Column) -> Column:
 
 def answer_sentences(sections: Column) -> Column:
     """Sentences of paragraphs and items of lists, of four words at least."""
-    cut = lambda s: F.split(F.regexp_replace(F.trim(s), r"(?<=[.!?])\s+(?=[A-Z0-9])", "\0"), "\0")
+    cut = lambda s: F.split(F.regexp_replace(F.trim(s), r"(?<=[.!?])" + v.GAP + "(?=[A-Z0-9])", "\0"), "\0")
     none = F.array().cast("array<string>")
     flat = F.flatten(F.transform(sections, lambda s: F.concat(F.when(F.trim(F.coalesce(s["content"], F.lit(""))) != "", cut(s["content"])).otherwise(none), F.coalesce(s["items"], none))))
     return F.filter(F.transform(flat, lambda x: F.trim(x)), lambda x: t.n_words(x) >= 4)

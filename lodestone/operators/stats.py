@@ -21,7 +21,7 @@ def chunk_stats(df: DataFrame, doc: str = "document_name", tokens: str = "token_
 
 
 RATES = {"intent_accuracy": "intent_ok", "recall_at_k": "document_hit", "keyword_any_hit": "any_hit", "keyword_all_hit": "all_hit"}
-GATES = {"intent_accuracy": 0.70, "recall_at_k": 0.70, "grounding_avg": 0.50, "keyword_any_hit": 0.70}
+GATES = dict.fromkeys(("intent_accuracy", "recall_at_k"), 0.7) | {"grounding_avg": 0.5, "keyword_any_hit": 0.7}
 
 
 def scoreboard(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Beginnings that give invented prose the signals which the classifiers look for. Each row gets one by its key.
 PROBES = [
     "Who is Prof. Asha Rao and what is her research area?", "Tell me about Dr. John Smith in computer science", "How do I apply for sabbatical leave?",
-    "What is HR-LA-01?", "How do I fill the HR-LA-01 leave application form?", "Am I eligible for medical reimbursement?", "Define provident fund",
+    "What is HR-LA-01?", "How do I fill the HR-LA-01 form for leave?", "Am I eligible for medical reimbursement?", "Define provident fund",
     "List the important policies", "what does gratuity mean", "employee resource book rules", "tell me about the FAG", "what is in the forms compendium",
     "What is the latest leave policy this year?", "Show me publications by Professor Mehta on deep learning and IoT", "steps to submit a travel claim form",
     "who can apply for the research grant", "definition of duty leave", "The form CL-7 fields", "What about it?", "and how", "Section B?", "current guideline for conferences",

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# -- chunks -----------------------------------------------------------------------------------------------------------------
+# -- chunks
 
 FILES = ["leave_policy.pdf", "agreement.pdf", "notes.txt", "compendium_forms.pdf", "faculty_list.csv", "sop.md", "handbook.pdf"]
 BEFORE = [
@@ -116,7 +116,7 @@ def expectation_gates(spark, d):
     return stats.expectation_gates(o, e)
 
 
-# -- conversations --------------------------------------------------------------------------------------------------------------
+# -- conversations
 
 
 def said(spark, d):
@@ -187,7 +187,7 @@ def rewrite(spark, d):
     return sessions.rewrite(sessions.best_anchor(short(spark, d))).select("session_id", "turn", "is_followup", "reason", "rewritten")
 
 
-# -- evaluation, logs and tables ---------------------------------------------------------------------------------------------------
+# -- evaluation, logs and tables
 
 EVAL_SQL = "e AS (SELECT d.doc_id, (d.lang = 'en') = (l.quality = 1) AS intent_ok, l.quality = 1 AS document_hit, contains(lower(text), 'the') OR contains(lower(text), 'der') AS any_hit, contains(lower(text), 'the') AND contains(lower(text), 'der') AS all_hit, CASE WHEN toxic = 0 THEN (d.doc_id % 100) / 100.0::DOUBLE END AS grounding, CASE WHEN d.doc_id % 50 = 0 THEN 'x' END AS error FROM documents d JOIN labels l USING (doc_id))"
 
@@ -275,7 +275,7 @@ def upsert(spark, d):
     return tables.upsert(old, new, ["id"], "v")
 
 
-# -- state -----------------------------------------------------------------------------------------------------------------------------
+# -- state
 
 LIMIT, SPAN, TTL = 3, 6 * 3600 * 1_000_000, 3600 * 1_000_000
 RATE_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),

@@ -10,6 +10,8 @@ from ..functions import vocab as v
 from .base import PROBES_SQL, ascii_, chain, contains_any, has, pick, probes, s, sql_ascii, sql_list, sql_pick, squeeze, table, tokens
 
 QUERIES, ORACLES = {}, {}
+#: What is in brackets goes.
+_BRACKETED = (r"\([^)]*\)", "")
 
 
 def query(name: str, sql: str | None = None):
@@ -22,7 +24,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-# -- cleaning and tokens over documents and pages ------------------------------------------------------------------
+# -- cleaning and tokens over documents and pages
 
 
 @query("token_estimate", f"SELECT doc_id, {tokens('text')} AS tokens, right(text, 600) AS tail FROM documents")
@@ -101,7 +103,7 @@ def title_strip(spark, d):
 
 PEOPLE = ["Dr. Asha Rao", "Li", "mr  Ravi Kumar (RK) Nair", "Prof. ", "Jane Mary Ann Doe"]
 PARTS = f"""
-WITH x AS (SELECT conv_id, turn, {squeeze(chain(f"regexp_replace({sql_pick('conv_id + turn', PEOPLE)} || ' ' || role, {s(v.HONORIFIC)}, '', 'gi')", [(r'\([^)]*\)', '')]))} AS c FROM conversations),
+WITH x AS (SELECT conv_id, turn, {squeeze(chain(f"regexp_replace({sql_pick('conv_id + turn', PEOPLE)} || ' ' || role, {s(v.HONORIFIC)}, '', 'gi')", [_BRACKETED]))} AS c FROM conversations),
 y AS (SELECT *, string_split(c, ' ') AS p FROM x)
 SELECT conv_id, turn, CASE WHEN c = '' THEN [] ELSE [e for e in [CASE WHEN len(p) >= 2 THEN p[1] END, CASE WHEN len(p) >= 2 THEN p[-1] END, CASE WHEN len(p) > 2 THEN p[1] || ' ' || p[-1] END, c] if e IS NOT NULL] END AS parts FROM y
 """
@@ -114,7 +116,7 @@ def name_parts(spark, d):
 
 
 CARDS = ["Faculty: Dr. A Rao\nDepartment: Law \nEmail: a@b.c\nResearch Interests: optics, AND, x; laser physics\n\nmore ", "Faculty: B\nPublications: stock market of neural things\nAwards: none ", "Research Interests: not specified\nPublications:\nA brand study\nExperience: 3 ", ""]
-_INT, _PUB, _JSON = r"Research Interests?:\s*(.+?)(?:\n\n|\nPublications?:|\nAwards?:|$)", r"Publications?:\s*(.+?)(?:\nAwards?:|\nExperience:|$)", r'"publications"\s*:\s*\{(.+?)\}'
+_INT, _PUB, _JSON = v.INTERESTS, v.PUBLICATIONS, v.JSON_PUBLICATIONS
 _FIELDS = ", ".join(f"CASE WHEN {has('pubs', '|'.join(w), '')} THEN {s(f)} END" for f, w in v.FIELD_WORDS)
 CARD_SQL = f"""
 WITH x AS (SELECT doc_id, {sql_pick('doc_id', CARDS)} || {sql_ascii('text')} AS c FROM documents),
@@ -157,7 +159,7 @@ def bm25_tokens(spark, d):
 
 
 def ground_sql(c: str) -> str:
-    return f"[w for w in regexp_extract_all(lower({c}), '[A-Za-z0-9][A-Za-z0-9\\-/]*') if length(w) > 1 AND NOT list_contains({sql_list(v.GROUND_STOP)}, w)]"
+    return f"[w for w in regexp_extract_all(lower({c}), {s(v.GROUND_WORD)}) if length(w) > 1 AND NOT list_contains({sql_list(v.GROUND_STOP)}, w)]"
 
 
 def shingle_sql(w: str, n: int = 3) -> str:
@@ -190,7 +192,7 @@ def clean_chunk(spark, d):
     return table(spark, d, "documents").select("doc_id", t.clean_chunk(x).alias("text"))
 
 
-# -- answers ------------------------------------------------------------------------------------------------------------
+# -- answers
 
 REPLIES = [
     '```json\n{"title": "T", "confidence": "low", "sections": [{"type": "List", "points": ["a", "b"]}, {"type": "text", "body": "c"}]}\n```',
@@ -210,7 +212,7 @@ def parse_answer(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", a.alias("answer")).withColumn("flat", t.flatten_answer(F.col("answer")))
 
 
-# -- classifiers over probes ----------------------------------------------------------------------------------------------
+# -- classifiers over probes
 
 PATHS = ["faculty_list.csv", "leave_policy.pdf", "compendium_forms.pdf", "agreement.pdf", "faculty_leave_policy.pdf", "notes.txt", "sop_process.md", "handbook_manual.docx", "FACULTY.JSON"]
 

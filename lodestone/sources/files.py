@@ -31,7 +31,7 @@ def scan(spark: SparkSession, path: str, suffixes: list[str] = SCANNED) -> DataF
     return df.withColumn("suffix", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))).filter(F.col("suffix").isin(suffixes))
 
 
-# -- readers: bytes to (text, entries) ---------------------------------------------------------------------------------
+# -- readers: bytes to (text, entries)
 
 
 def read_text(data: bytes) -> tuple[str, int]:
@@ -45,7 +45,7 @@ def person_text(x: dict) -> str:
     for key in ("qualification", "experience", "research_interests"):
         value = str(x.get(key) or "").strip()
         if value and value.lower() != "not specified":
-            out.append(f"{key.replace('_', ' ').title()}: {value}")
+            out.append(f"{' '.join(key.split('_')).title()}: {value}")
     pubs, awards = x.get("publications"), x.get("awards")
     groups = [("\n" + k.title(), xs) for k, xs in pubs.items()] if isinstance(pubs, dict) else [("Publications", pubs)]
     for head, xs in [*groups, ("\nAwards", awards)]:

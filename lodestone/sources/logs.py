@@ -68,7 +68,7 @@ def eval_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([tuple(x.get(n) for n in names) for x in found], EVAL)
 
 
-# -- tables that are replaced as a whole ---------------------------------------------------------------------------------
+# -- tables that are replaced as a whole
 
 
 def _fs(spark: SparkSession, path: str):

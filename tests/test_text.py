@@ -69,7 +69,7 @@ def test_filters(spark):
     assert ids({}) == [1, 2, 3] and ids({"k": "a", "x": None}) == [1] and ids({"tags[]": ["p", "q"]}) == [1] and ids({"tags[]": ["p", "q"]}, any_of=True) == [1, 2] and ids({"k": ["a", "b"]}) == []
 
 
-# -- chunking ---------------------------------------------------------------------------------------------------------------
+# -- chunking
 
 
 def test_lines():
