@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks of text between white space, and words, that a worker remembers before it forgets all of them.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Python's str.split() takes these for white space; the tokenizer doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -74,7 +74,14 @@ class BpeCodec:
         keys = self.left[base:].astype(np.int64) << 32 | self.right[base:]
         order = np.argsort(keys)
         self.pair_keys, self.pair_made = keys[order], order + base
-        self.rank = {(self.of[a], self.of[b]): base + k for k, (a, b) in enumerate(merges)}
+        # For each token, the tokens that merge with it from the right, and when.
+        nothing: dict[int, int] = {}
+        self.joins = [nothing] * n
+        for k, (a, b) in enumerate(merges):
+            x = self.of[a]
+            if self.joins[x] is nothing:
+                self.joins[x] = {}
+            self.joins[x][self.of[b]] = base + k
         self.vocab_id = np.array([vocab[t] for t in self.of], dtype="<u4")
         # For matching, a word's end is one letter that no byte stands for.
         self.end = "\x00"
@@ -100,9 +107,9 @@ class BpeCodec:
 
     def merged(self, tokens: list[int]) -> list[int]:
         """Exact merging: the earliest merge first, leftmost among equals."""
-        rank, none = self.rank.get, 1 << 40
+        joins, none = self.joins, 1 << 40
         tokens = list(tokens)
-        ranks = [rank(p, none) for p in zip(tokens, tokens[1:])]
+        ranks = [joins[a].get(b, none) for a, b in zip(tokens, tokens[1:])]
         while ranks:
             best = min(ranks)
             if best == none:
@@ -111,9 +118,9 @@ class BpeCodec:
             tokens[k : k + 2] = (best,)
             del ranks[k]
             if k:
-                ranks[k - 1] = rank((tokens[k - 1], best), none)
+                ranks[k - 1] = joins[tokens[k - 1]].get(best, none)
             if k < len(ranks):
-                ranks[k] = rank((best, tokens[k + 1]), none)
+                ranks[k] = joins[best].get(tokens[k + 1], none)
         return tokens
 
     def guess(self, word: str) -> list[int]:
@@ -261,7 +268,7 @@ ENCODED = "n_tokens long, ids array<int>, decoded string"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _encoded(file: str, digest: bool):
+def _encoded(file: str, digest: bool, decoding: bool):
     from .common import release, text_lists
 
     def run(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -270,13 +277,14 @@ def _encoded(file: str, digest: bool):
         names = [x.split()[0] for x in (DIGEST if digest else ENCODED).split(", ")]
         for col in cols:
             n, ids, decoded = [], [], []
-            for texts in text_lists(col, 1 << 20, 4096):
+            for texts in text_lists(col, 1 << 21, 4096):
                 for raw in c.encode_batch(texts):
                     n.append(len(raw) // 4)
-                    text = c.decode(raw)
+                    text = c.decode(raw) if decoding else ""
                     ids.append(hashlib.sha256(raw).hexdigest() if digest else np.frombuffer(raw, "<i4"))
                     decoded.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], names)
+            made = [pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())]
+            yield pa.StructArray.from_arrays(made[: 2 + decoding], names[: 2 + decoding])
         # A worker lives on after its task; what it remembers would take room from other stages.
         c.forget()
         release()
@@ -284,8 +292,9 @@ def _encoded(file: str, digest: bool):
     return run
 
 
-def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False) -> DataFrame:
-    """Adds n_tokens, ids and decoded of each whole text; with digest, SHA-256 of ids and decoded instead.
+def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False, decoding: bool = True) -> DataFrame:
+    """Adds n_tokens, ids and decoded of each whole text; with digest, SHA-256 of ids and decoded instead; without
+    decoding, no decoded text.
 
     Null and empty texts, and texts of white space alone, have no tokens and decode to an empty string. Every row
     is kept, repeated ones too; columns named as the new ones are replaced and all others pass through. An empty
@@ -295,7 +304,8 @@ def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False) -
 
     modest_batches(df)
     kind = DIGEST if digest else ENCODED
-    made = F.arrow_udf(_encoded(file, digest), kind)(F.col(text).cast("string"))
+    kind = kind if decoding else kind.rpartition(", ")[0]
+    made = F.arrow_udf(_encoded(file, digest, decoding), kind)(F.col(text).cast("string"))
     at = "__lode_encoded"
     names = [x.split()[0] for x in kind.split(", ")]
     return df.withColumn(at, made).withColumns({n: F.col(at)[n] for n in names}).drop(at)
