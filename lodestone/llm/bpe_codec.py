@@ -99,7 +99,7 @@ class BpeCodec:
         self.chunks: dict[str, bytes] = {}
         self.exact = self.guessed = 0
 
-    # -- one word ---------------------------------------------------------------------------------------------
+    # -- one word
 
     def pieces(self, word: str) -> list[int]:
         """The symbols of a word: a letter for each byte, the last one with the word's end."""
@@ -156,7 +156,7 @@ class BpeCodec:
             self.sound[t] = self.merged(leaves) == [t]
         return self.sound[t]
 
-    # -- all pairs at once ------------------------------------------------------------------------------------
+    # -- all pairs at once
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of tokens, whether merging never joins across their border.
@@ -207,7 +207,7 @@ class BpeCodec:
         self.guessed += int(good.sum())
         self.exact += int((~good).sum())
 
-    # -- texts ------------------------------------------------------------------------------------------------
+    # -- texts
 
     def pretokens(self, chunk: str) -> list[str | int]:
         """Words of a chunk between white space, in letters for bytes; special strings as their ids."""

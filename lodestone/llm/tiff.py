@@ -27,7 +27,7 @@ class TiffError(ValueError):
     """The bytes aren't a TIFF file that this reader can decode."""
 
 
-# -- PackBits -------------------------------------------------------------------------------------------------
+# -- PackBits
 
 _run = re.compile(rb"(.)\1{2,127}", re.DOTALL)
 
@@ -70,7 +70,7 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
-# -- LZW: codes of 9 to 12 bits, highest bit first, widened one code early ---------------------------------------
+# -- LZW: codes of 9 to 12 bits, highest bit first, widened one code early
 
 
 def lzw(data: bytes) -> bytes:
@@ -172,7 +172,7 @@ def unlzw(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
-# -- writing --------------------------------------------------------------------------------------------------
+# -- writing
 
 
 def _packed(block: np.ndarray, compression: int, predictor: int, level: int) -> bytes:
@@ -232,7 +232,7 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
     return bytes(out)
 
 
-# -- reading --------------------------------------------------------------------------------------------------
+# -- reading
 
 
 def _directories(data: bytes):
@@ -351,7 +351,7 @@ def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
     return rows.select(*kept, *(F.col(f"{at}.{n}").alias(n) for n in names), "error")
 
 
-# -- texts as media -------------------------------------------------------------------------------------------
+# -- texts as media
 
 WIDTH = 64
 #: Rows of samples in a page; longer payloads have several pages.
