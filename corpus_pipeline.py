@@ -1,7 +1,7 @@
 """A training corpus from documents: five stages, each on all that the one before it kept.
 
     language    rejects documents without a known language (no letter at all)
-    toxicity    rejects documents whose score passes the threshold of their predicted language
+    toxicity    rejects documents whose score passes the threshold of their language
     near_dedup  keeps one document of each group of near duplicates
     mixing      repeats documents by Poisson numbers so that sources have their target shares
     encoding    token ids of every whole text

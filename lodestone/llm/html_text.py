@@ -20,7 +20,14 @@ from pyspark.sql import functions as F
 
 from .url_filter import host_and_path
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']|[\"'])*?)>", re.S)
+#: Comments, declarations and tags; a tag with an unbalanced quote ends at its first `>`. No alternative is tried twice,
+#: so time is linear in a page however broken.
+TOKEN = re.compile(
+    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
+    r"|<(?P<e>/?)(?P<n>[a-zA-Z][^\s/<>]*+)(?P<v>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<e2>/?)(?P<n2>[a-zA-Z][^\s/<>]*+)(?P<v2>[^<>]*+)>",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -47,6 +54,7 @@ class Page:
         #: name, first piece, end piece, whether it is marked as no article, whether it lies in article or main
         self.elements: list[tuple[str, int, int, bool, bool]] = []
         self._parse(source)
+        self.main_spans = [(a, b) for n, a, b, _, _ in self.elements if n in MAIN and b > a]
 
     def _parse(self, s: str) -> None:
         pieces, stack, at, n = self.pieces, [], 0, len(s)
@@ -70,14 +78,14 @@ class Page:
                 text = s[at : m.start()]
                 pieces.append(html.unescape(text) if "&" in text else text)
             at = m.end()
-            name = m.group(2)
+            name = m["n"] or m["n2"]
             if not name:
                 if m.group().startswith("<![CDATA["):
                     pieces.append(m.group()[9:].removesuffix("]]>"))
                 continue
             name = name.lower()
             block = name not in FLOWING
-            if m.group(1):
+            if m["e"] or m["e2"]:
                 if name == "p" or name == "br":
                     pieces.append(" ")
                 for k in range(len(stack) - 1, -1, -1):
@@ -105,7 +113,7 @@ class Page:
                         break
             marked = name in DROP
             main = name in MAIN
-            values = m.group(3)
+            values = m["v"] or m["v2"]
             if values and not marked and name not in ("html", "body"):
                 for a, *v in ATTRIBUTE.findall(values):
                     value = "".join(v)
@@ -141,7 +149,7 @@ class Page:
         for name, a, b, _, inside in self.elements:
             if inside or name in MAIN or name in ("html", "body", "head") or name in RAW or b <= a:
                 continue
-            if self._holds_main(a, b):
+            if any(a <= x and y <= b for x, y in self.main_spans):
                 continue
             text = " ".join("".join(self.pieces[a:b]).split())
             if text:
@@ -149,9 +157,6 @@ class Page:
                 out.append((xxhash.xxh64_intdigest(f"{name}|{shape}|{text}") - (1 << 63), a, b))
         return out
 
-    def _holds_main(self, a: int, b: int) -> bool:
-        return any(n in MAIN and a <= x and y <= b and y > x for n, x, y, m, _ in self.elements)
-
     def mains(self) -> list[tuple[int, int]]:
         found = [(a, b) for n, a, b, marked, _ in self.elements if n in MAIN and not marked]
         return found if any("".join(self.pieces[a:b]).strip() for a, b in found) else []

@@ -137,6 +137,18 @@ def test_main_text():
     assert page("<div " + "x" * 10000) == "<div " + "x" * 10000
 
 
+def test_broken_pages_take_no_longer():
+    import time
+
+    began = time.time()
+    assert page("<div " + 'a="b" ' * 3000).startswith("<div a=")
+    assert page("<a" * 30000).startswith("<a<a") and page("<p title='x>y") == "y"
+    assert page('<p a="b>c</p>d<p e="f">g') != "" and page("<b>" * 5000 + "x" + "</p>" * 5000) == "x"
+    assert len(page("<div><span>w</span> " * 3000).split()) == 3000
+    assert html_text.Page("<div>x<i>y</i></div>" * 2000).subtrees()
+    assert time.time() - began < 20
+
+
 def test_templates_are_removed_either_way(spark):
     rows = []
     for k in range(12):
