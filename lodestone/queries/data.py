@@ -259,12 +259,11 @@ def stale_anti_join(spark, d):
     return tables.delete(df.select("doc_id", "source"), gone, "source")
 
 
-@query("incremental_diff", "WITH o AS (SELECT 'd' || doc_id AS document_name, md5(text) AS h FROM documents WHERE doc_id % 3 > 0), n AS (SELECT 'd' || doc_id AS document_name, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 > 0) SELECT coalesce(n.document_name, o.document_name) AS document_name, coalesce(n.h, o.h) AS content_hash, CASE WHEN n.h IS NULL THEN 'gone' WHEN o.h IS NULL THEN 'new' WHEN n.h <> o.h THEN 'changed' ELSE 'unchanged' END AS status FROM n FULL JOIN o USING (document_name)")
+@query("incremental_diff", "WITH n AS (SELECT 'd' || doc_id AS document_name, md5(lang) AS h FROM documents), o AS (SELECT 'd' || (vec_id * 3) AS document_name, md5(CASE WHEN label < 5 THEN 'en' ELSE 'de' END) AS h FROM embeddings) SELECT coalesce(n.document_name, o.document_name) AS document_name, coalesce(n.h, o.h) AS content_hash, CASE WHEN n.h IS NULL THEN 'gone' WHEN o.h IS NULL THEN 'new' WHEN n.h <> o.h THEN 'changed' ELSE 'unchanged' END AS status FROM n FULL JOIN o USING (document_name)")
 def incremental_diff(spark, d):
-    """The two states differ by rows of their own: that is what is compared."""
-    df = table(spark, d, "documents").withColumn("document_name", F.concat(F.lit("d"), "doc_id"))
-    old = df.filter("doc_id % 3 > 0").withColumn("content_hash", F.md5("text"))
-    new = df.filter("doc_id % 7 > 0").withColumn("content_hash", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    """Documents against a manifest that is made of another table, so that some are new, changed, unchanged or gone."""
+    new = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("document_name"), F.md5("lang").alias("content_hash"))
+    old = table(spark, d, "embeddings").select(F.concat(F.lit("d"), F.col("vec_id") * 3).alias("document_name"), F.md5(F.when(F.col("label") < 5, "en").otherwise("de")).alias("content_hash"))
     return tables.changes(new, old)
 
 
