@@ -10,6 +10,7 @@ with a failing pair undergo exact merging.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 #: Chunks of text between white space, and words, that a worker remembers before it forgets all of them.
 REMEMBERED = 300_000
 WHITE = "\t-\r \x85\xa0  -     　"
+#: Words of more symbols than this are merged with a heap.
+LONG = 100
 #: Python's str.split() takes these for white space; the tokenizer doesn't.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 EXPECTED = {
@@ -107,6 +110,8 @@ class BpeCodec:
 
     def merged(self, tokens: list[int]) -> list[int]:
         """Exact merging: the earliest merge first, leftmost among equals."""
+        if len(tokens) > LONG:
+            return self.merged_long(tokens)
         joins, none = self.joins, 1 << 40
         tokens = list(tokens)
         ranks = [joins[a].get(b, none) for a, b in zip(tokens, tokens[1:])]
@@ -123,6 +128,28 @@ class BpeCodec:
                 ranks[k] = joins[best].get(tokens[k + 1], none)
         return tokens
 
+    def merged_long(self, tokens: list[int]) -> list[int]:
+        """The same with a heap and links, for words whose pairs aren't searched one by one."""
+        joins, n, part = self.joins, len(tokens), list(tokens)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(joins[a][b], k, a, b) for k, (a, b) in enumerate(zip(part, part[1:])) if b in joins[a]]
+        heapq.heapify(heap)
+        while heap:
+            made, k, a, b = heapq.heappop(heap)
+            j = after[k]
+            if part[k] != a or j >= n or part[j] != b:
+                continue
+            part[k], part[j] = made, -1
+            q, p = after[j], before[k]
+            after[k] = q
+            if q < n:
+                before[q] = k
+                if part[q] in joins[made]:
+                    heapq.heappush(heap, (joins[made][part[q]], k, made, part[q]))
+            if p >= 0 and made in joins[part[p]]:
+                heapq.heappush(heap, (joins[part[p]][made], p, part[p], made))
+        return [t for t in part if t >= 0]
+
     def guess(self, word: str) -> list[int]:
         """Greedy longest match: as far as some token goes on, the last whole token on the way."""
         s, begin, k, out = word + self.end, self.begin.get, 0, []

@@ -16,7 +16,7 @@ def fuzz(n=400):
     letters = "abcdefgh  THE're's'll éÉ日本 \n\t\x1c\x00\xa0ΣςİßDž1２½🙂́▁<>|"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(n)]
     words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 15))) for _ in range(2000)]
-    return ODD + texts + [" ".join(words[k : k + 40]) for k in range(0, 2000, 40)] + ["x" * 5000, "the " * 3000]
+    return ODD + texts + [" ".join(words[k : k + 40]) for k in range(0, 2000, 40)] + ["x" * 5000, "the " * 3000, "thequickbrownfox" * 4000, "".join(rng.choice("etaoin") for _ in range(60_000))]
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,13 @@ def test_ids_and_decoding_equal_the_library(texts):
     assert c.guessed and c.exact
 
 
+def test_either_merging_is_the_same():
+    c, rng = bpe_codec.BpeCodec(BPE), random.Random(9)
+    for _ in range(300):
+        w = c.pieces("".join(rng.choice("aabehnorst") for _ in range(rng.randint(1, 90))))
+        assert c.merged(w) == c.merged_long(w)
+
+
 def test_compatible_pairs_against_merging():
     c, rng = bpe_codec.BpeCodec(BPE), np.random.default_rng(4)
     ends = np.array([t.endswith(c.suffix) for t in c.of])
