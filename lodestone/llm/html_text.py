@@ -4,8 +4,9 @@ A tolerant parser turns a page into a stream of tags and text with the span of e
 subtree is hashed by its tags and text; Spark counts, per host, in how many pages of different content a subtree
 occurs, and subtrees that recur are deleted. What the page itself marks as no part of the article (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, comments) goes as well, and where a page has an article or main
-element, only that is its main text. Inside such an element nothing is deleted for recurring: an article that a site
-shows on many pages, or a passage that many articles share, is no template.
+element, only that is its main text. Inside such an element the bar is higher: a whole block goes if it recurs in many
+different articles of the host and in at least half of them. A passage that fewer articles share is no template, nor
+is an article that a site shows on many pages.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ BOUNDS = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body"
 WORDS = "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation topnav breadcrumb breadcrumbs footer masthead comment comments disqus respond replies newsletter subscribe popup modal overlay share sharing social related recommended widget login signup skip".split()
 NAMED = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(WORDS)}|side-?bar|(?:site|page|top|global)[_-]?header)(?:$|[\s_-])", re.I)
 COMMENT = re.compile(r"(?:^|\s)comments?(?:$|\s)", re.I)
+#: Elements that are no blocks of their own inside an article: parts of lists and tables, and headings, recur as words do.
+PARTS = set("li dt dd tr td th thead tbody tfoot caption h1 h2 h3 h4 h5 h6 html body head".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 
 
@@ -157,6 +160,25 @@ class Page:
                 out.append((xxhash.xxh64_intdigest(f"{name}|{shape}|{text}") - (1 << 63), a, b))
         return out
 
+    def blocks(self) -> list[tuple[int, int, int]]:
+        """The same of each block with text inside article and main, without what is marked."""
+        out, cuts = [], {}
+        for name, a, _, _, _ in self.elements:
+            cuts.setdefault(a, []).append(name)
+        for name, a, b, marked, inside in self.elements:
+            if not inside or marked or b <= a or name in MAIN or name in PARTS or name in FLOWING or name in RAW:
+                continue
+            text = " ".join("".join(self.pieces[a:b]).split())
+            if text:
+                shape = ",".join(x for k in range(a, b) for x in cuts.get(k, ()))
+                out.append((xxhash.xxh64_intdigest(f"in main|{name}|{shape}|{text}") - (1 << 63), a, b))
+        return out
+
+    def candidates(self, host: str | None, own: bool = True) -> list[tuple[int, int, int, int]]:
+        """Key, hash, first and end piece of what may be a template. With own, what can't be in the page's text is left out."""
+        outer = [] if own and self.mains() else self.subtrees()
+        return [(_host_key(host, x, False), x, a, b) for x, a, b in outer] + [(_host_key(host, x, True), x, a, b) for x, a, b in self.blocks()]
+
     def mains(self) -> list[tuple[int, int]]:
         found = [(a, b) for n, a, b, marked, _ in self.elements if n in MAIN and not marked]
         return found if any("".join(self.pieces[a:b]).strip() for a, b in found) else []
@@ -172,56 +194,74 @@ class Page:
             if marked and not (name not in DROP and any(a <= x and y <= b for x, y in mains)):
                 keep[a:b] = bytes(b - a)
         if template:
-            for h, a, b in self.subtrees() if hashed is None else hashed:
+            whole = bytes(keep)
+            for h, a, b in self.subtrees() + self.blocks() if hashed is None else hashed:
                 if h in template:
                     keep[a:b] = bytes(b - a)
+            if mains and not any(k and p.strip() for p, k in zip(self.pieces, keep)):
+                keep = whole  # an article isn't emptied
         return " ".join("".join(p if k else " " if p == " " else "" for p, k in zip(self.pieces, keep)).split())
 
 
-def _host_key(host: str, subtree: int) -> int:
-    return xxhash.xxh64_intdigest(f"{host}\n{subtree}") - (1 << 63)
+def _host_key(host: str | None, subtree: int, inside: bool) -> int:
+    """Odd for blocks inside article and main, even for others."""
+    return (xxhash.xxh64_intdigest(f"{host}\n{subtree}") >> 1 << 1 | inside) - (1 << 63)
+
+
+#: The key under which a host's different articles are counted.
+ARTICLES = 1
 
 
 #: So many templates at most are sent to every executor (8 bytes each); more are joined to their pages instead.
 MOST_BROADCAST = 2_000_000
 
 
-def recurring(pages: DataFrame, host: Column, source: str, min_pages: int, min_share: float) -> DataFrame:
+def recurring(pages: DataFrame, host: Column, source: str, min_pages: int, min_share: float, min_articles: int, article_share: float) -> DataFrame:
     """(key,): host and subtree, hashed together, of subtrees that recur on enough pages of a host.
 
     Pages of a host with the same text outside their templates count once. Counts are combined before they are
     shuffled, so a host with a third of all pages isn't gathered anywhere.
     """
 
+    from .common import cut
+
     def subtrees(hosts: pa.Array, sources: pa.Array) -> pa.Array:
         rows = []
         for h, s in zip(hosts.to_pylist(), sources):
             p = Page(s.as_py() or "")
             content = xxhash.xxh64_intdigest(p.text()) - (1 << 63)
-            rows.append({"keys": sorted({_host_key(h, x) for x, _, _ in p.subtrees()}), "content": content})
+            keys = {k for k, _, _, _ in p.candidates(h, own=False)}
+            if any(inside for _, _, _, _, inside in p.elements):
+                keys.add(ARTICLES)
+            rows.append({"keys": sorted(keys), "content": content})
         return pa.array(rows, pa.struct([("keys", pa.list_(pa.int64())), ("content", pa.int64())]))
 
     found = pages.select(host.alias("h"), F.arrow_udf(subtrees, "keys array<long>, content long")(host, F.col(source)).alias("s"))
     each = found.select(F.xxhash64("h").alias("h"), "s.content", F.explode("s.keys").alias("key")).distinct()
-    counts = each.groupBy("h", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    found = cut(each.groupBy("h", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min(min_pages, min_articles)))
+    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
+    articles = found.filter(F.col("key") == ARTICLES).select("h", F.col("n").alias("articles"))
+    blocks = found.filter(odd & (F.col("key") != ARTICLES) & (F.col("n") >= min_articles)).join(articles, "h").filter(F.col("n") >= F.col("articles") * article_share)
+    counts = found.filter(~odd & (F.col("n") >= min_pages))
     if min_share > 0:
         hosts = pages.groupBy(F.xxhash64(host).alias("h")).agg(F.count("*").alias("pages"))
         counts = counts.join(hosts, "h").filter(F.col("n") >= F.col("pages") * min_share)
-    return counts.select("key")
+    return counts.select("key").unionByName(blocks.select("key"))
 
 
-def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str = "page_id", out: str = "text", min_pages: int = 5, min_share: float = 0.002, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str = "page_id", out: str = "text", min_pages: int = 5, min_share: float = 0.002, most_broadcast: int = MOST_BROADCAST, min_articles: int = 20, article_share: float = 0.5) -> DataFrame:
     """Adds the main text of each page; see the module's own words for what that is.
 
     Null and empty pages, and pages without text, have an empty text. Pages without a host form one site. Every row
     is kept, repeated ones too; a column named as `out` is replaced, others pass through; an empty table gives an
-    empty table. `key` need not be unique or non-null: it isn't used but for joining, with all its equals alike.
+    empty table. Inside article and main, a block goes that at least `min_articles` different articles of a host have,
+    and at least `article_share` of them. `key` need not be unique or non-null: it isn't used but for joining, with all its equals alike.
     """
     from .common import cut, modest_batches
 
     modest_batches(df)
     host = host_and_path(F.col(url).cast("string"))[0]
-    keys = cut(recurring(df, host, source, min_pages, min_share))
+    keys = cut(recurring(df, host, source, min_pages, min_share, min_articles, article_share))
     if keys.count() <= most_broadcast:
         shared = df.sparkSession.sparkContext.broadcast(frozenset(r.key for r in keys.collect()))
 
@@ -229,8 +269,8 @@ def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str
             known, texts = shared.value, []
             for h, s in zip(hosts.to_pylist(), sources):
                 p = Page(s.as_py() or "")
-                hashed = p.subtrees() if known and not p.mains() else []
-                texts.append(p.text({x for x, _, _ in hashed if _host_key(h, x) in known}, hashed))
+                found = [c[1:] for c in p.candidates(h) if c[0] in known] if known else []
+                texts.append(p.text({x for x, _, _ in found}, found))
             return pa.array(texts, pa.string())
 
         return df.withColumn(out, F.arrow_udf(text, "string")(host, F.col(source)))
@@ -239,15 +279,15 @@ def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str
         rows = []
         for h, s in zip(hosts.to_pylist(), sources):
             p = Page(s.as_py() or "")
-            rows.append([] if p.mains() else sorted({_host_key(h, x) for x, _, _ in p.subtrees()}))
+            rows.append(sorted({k for k, _, _, _ in p.candidates(h)}))
         return pa.array(rows, pa.list_(pa.int64()))
 
     def strip(hosts: pa.Array, sources: pa.Array, found: pa.Array) -> pa.Array:
         texts = []
         for h, s, f in zip(hosts.to_pylist(), sources, found.to_pylist()):
             p, f = Page(s.as_py() or ""), set(f or ())
-            hashed = p.subtrees() if f else []
-            texts.append(p.text({x for x, _, _ in hashed if _host_key(h, x) in f}, hashed))
+            mine = [c[1:] for c in p.candidates(h) if c[0] in f] if f else []
+            texts.append(p.text({x for x, _, _ in mine}, mine))
         return pa.array(texts, pa.string())
 
     # Many templates: those of each page are found by a join, and only pages that have some are joined to them.

@@ -165,6 +165,20 @@ def test_templates_are_removed_either_way(spark):
         assert html_text.extract_text(df.limit(0), most_broadcast=most).count() == 0
 
 
+def test_blocks_that_a_site_repeats_inside_its_articles(spark):
+    box, rare = "<div><p>Read us <b>daily</b></p><ul><li>One<li>Two</ul></div>", "<p>A passage that some share</p>"
+    body = lambda k: f"<h1>T {k}</h1><p>Own words {k}.</p>{rare if k % 3 == 0 else ''}<ul><li>Salt<li>Nr {k}</ul>{box}"
+    rows = [(k, "http://h.org/%d" % k, f"<nav>m</nav><article>{body(k)}</article>") for k in range(24)]
+    rows += [(100 + k, "http://i.org/%d" % k, f"<div role='main'>{body(k)}</div>") for k in range(24)]
+    rows += [(200 + k, "http://j.org/%d" % k, "<article><p>One article on many pages</p></article>") for k in range(24)]
+    rows += [(300, "http://h.org/box", f"<main>{box}</main>")]
+    text = lambda k: f"T {k} Own words {k}.{' A passage that some share' if k % 3 == 0 else ''} Salt Nr {k}"
+    want = {k: text(k) for k in range(24)} | {100 + k: text(k) for k in range(24)} | {200 + k: "One article on many pages" for k in range(24)} | {300: "Read us daily One Two"}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (1000, 0):
+        assert {r.page_id: r.text for r in html_text.extract_text(df, most_broadcast=most).collect()} == want
+
+
 def test_html_query(spark, sf):
     import html
 
