@@ -208,8 +208,8 @@ def _host_key(host: str | None, subtree: int, inside: bool) -> int:
     return (xxhash.xxh64_intdigest(f"{host}\n{subtree}") >> 1 << 1 | inside) - (1 << 63)
 
 
-#: The key under which a host's different articles are counted.
-ARTICLES = 1
+#: The keys under which a host's different pages and articles are counted.
+PAGES, ARTICLES = 0, 1
 
 
 #: So many templates at most are sent to every executor (8 bytes each); more are joined to their pages instead.
@@ -219,7 +219,7 @@ MOST_BROADCAST = 2_000_000
 def recurring(pages: DataFrame, host: Column, source: str, min_pages: int, min_share: float, min_articles: int, article_share: float) -> DataFrame:
     """(key,): host and subtree, hashed together, of subtrees that recur on enough pages of a host.
 
-    Pages of a host with the same text outside their templates count once. Counts are combined before they are
+    Pages of a host with the same text outside their templates count once, in numbers and in what shares are of. Counts are combined before they are
     shuffled, so a host with a third of all pages isn't gathered anywhere.
     """
 
@@ -230,7 +230,7 @@ def recurring(pages: DataFrame, host: Column, source: str, min_pages: int, min_s
         for h, s in zip(hosts.to_pylist(), sources):
             p = Page(s.as_py() or "")
             content = xxhash.xxh64_intdigest(p.text()) - (1 << 63)
-            keys = {k for k, _, _, _ in p.candidates(h, own=False)}
+            keys = {k for k, _, _, _ in p.candidates(h, own=False)} | {PAGES}
             if any(inside for _, _, _, _, inside in p.elements):
                 keys.add(ARTICLES)
             rows.append({"keys": sorted(keys), "content": content})
@@ -242,19 +242,20 @@ def recurring(pages: DataFrame, host: Column, source: str, min_pages: int, min_s
     odd = F.col("key").bitwiseAND(F.lit(1)) == 1
     articles = found.filter(F.col("key") == ARTICLES).select("h", F.col("n").alias("articles"))
     blocks = found.filter(odd & (F.col("key") != ARTICLES) & (F.col("n") >= min_articles)).join(articles, "h").filter(F.col("n") >= F.col("articles") * article_share)
-    counts = found.filter(~odd & (F.col("n") >= min_pages))
+    counts = found.filter(~odd & (F.col("key") != PAGES) & (F.col("n") >= min_pages))
     if min_share > 0:
-        hosts = pages.groupBy(F.xxhash64(host).alias("h")).agg(F.count("*").alias("pages"))
+        hosts = found.filter(F.col("key") == PAGES).select("h", F.col("n").alias("pages"))
         counts = counts.join(hosts, "h").filter(F.col("n") >= F.col("pages") * min_share)
     return counts.select("key").unionByName(blocks.select("key"))
 
 
-def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str = "page_id", out: str = "text", min_pages: int = 5, min_share: float = 0.002, most_broadcast: int = MOST_BROADCAST, min_articles: int = 20, article_share: float = 0.5) -> DataFrame:
+def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str = "page_id", out: str = "text", min_pages: int = 5, min_share: float = 0.0, most_broadcast: int = MOST_BROADCAST, min_articles: int = 20, article_share: float = 0.5) -> DataFrame:
     """Adds the main text of each page; see the module's own words for what that is.
 
     Null and empty pages, and pages without text, have an empty text. Pages without a host form one site. Every row
     is kept, repeated ones too; a column named as `out` is replaced, others pass through; an empty table gives an
-    empty table. Inside article and main, a block goes that at least `min_articles` different articles of a host have,
+    empty table. Outside article and main, a subtree goes that recurs on `min_pages` different pages of a host however
+    many it has; `min_share` asks for that share of its different pages besides. Inside article and main, a block goes that at least `min_articles` different articles of a host have,
     and at least `article_share` of them. `key` need not be unique or non-null: it isn't used but for joining, with all its equals alike.
     """
     from .common import cut, modest_batches

@@ -165,6 +165,16 @@ def test_templates_are_removed_either_way(spark):
         assert html_text.extract_text(df.limit(0), most_broadcast=most).count() == 0
 
 
+def test_templates_of_hosts_with_many_copies(spark):
+    rows = [(k, "http://h.org/%d" % k, f"<div>Top of site</div><div><p>Story {k % 15}</p></div>") for k in range(10_000)]
+    rows += [(20_000 + k, "http://i.org/%d" % k, f"{'<div>Top of site</div>' if k < 6 else ''}<div><p>Page {k}</p></div>") for k in range(4000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert got == {k: f"Story {k % 15}" for k in range(10_000)} | {20_000 + k: f"Page {k}" for k in range(4000)}
+    shared = {r.page_id: r.text for r in html_text.extract_text(df, min_share=0.1).collect()}
+    assert shared[0] == "Story 0" and shared[20_000] == "Top of site Page 0"
+
+
 def test_blocks_that_a_site_repeats_inside_its_articles(spark):
     box, rare = "<div><p>Read us <b>daily</b></p><ul><li>One<li>Two</ul></div>", "<p>A passage that some share</p>"
     body = lambda k: f"<h1>T {k}</h1><p>Own words {k}.</p>{rare if k % 3 == 0 else ''}<ul><li>Salt<li>Nr {k}</ul>{box}"
