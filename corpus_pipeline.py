@@ -4,7 +4,7 @@
     toxicity    rejects documents whose score passes the threshold of their language
     near_dedup  keeps one document of each group of near duplicates
     mixing      repeats documents by Poisson numbers so that sources have their target shares
-    encoding    token ids of every whole text
+    encoding    token ids of every whole text, decoded again for a digest
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
 read again as the next one's docs. All but the last return the columns of documents, as they came. SQL can't express
@@ -62,9 +62,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the ids of each document of the mixture."""
-    coded = bpe_codec.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), decoding=False)
-    return coded.select("doc_id", "source", "n_tokens", "ids")
+    """doc_id, source, the ids of each document of the mixture, and the SHA-256 of what they decode to."""
+    coded = bpe_codec.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), decoded_digest=True)
+    return coded.select("doc_id", "source", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [("language", language), ("toxicity", toxic), ("near_dedup", near_dedup), ("mixing", mix), ("encoding", encoding)]

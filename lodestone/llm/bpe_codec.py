@@ -293,25 +293,26 @@ def codec(file: str) -> BpeCodec:
 
 ENCODED = "n_tokens long, ids array<int>, decoded string"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+DECODED_DIGEST = "n_tokens long, ids array<int>, decoded_sha256 string"
 
 
-def _encoded(file: str, digest: bool, decoding: bool):
+def _encoded(file: str, kind: str):
     from .common import release, text_lists
 
     def run(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(file)
-        kind = pa.string() if digest else pa.list_(pa.int32())
-        names = [x.split()[0] for x in (DIGEST if digest else ENCODED).split(", ")]
+        names = [x.split()[0] for x in kind.split(", ")]
+        hashed_ids, hashed_text = "ids_sha256" in names, "decoded_sha256" in names
         for col in cols:
             n, ids, decoded = [], [], []
             for texts in text_lists(col, 1 << 21, 4096):
                 for raw in c.encode_batch(texts):
                     n.append(len(raw) // 4)
-                    text = c.decode(raw) if decoding else ""
-                    ids.append(hashlib.sha256(raw).hexdigest() if digest else np.frombuffer(raw, "<i4"))
-                    decoded.append(hashlib.sha256(text.encode()).hexdigest() if digest else text)
-            made = [pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())]
-            yield pa.StructArray.from_arrays(made[: 2 + decoding], names[: 2 + decoding])
+                    text = c.decode(raw)
+                    ids.append(hashlib.sha256(raw).hexdigest() if hashed_ids else np.frombuffer(raw, "<i4"))
+                    decoded.append(hashlib.sha256(text.encode()).hexdigest() if hashed_text else text)
+            made = [pa.array(n, pa.int64()), pa.array(ids, pa.string() if hashed_ids else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            yield pa.StructArray.from_arrays(made, names)
         # A worker lives on after its task; what it remembers would take room from other stages.
         c.forget()
         release()
@@ -319,9 +320,9 @@ def _encoded(file: str, digest: bool, decoding: bool):
     return run
 
 
-def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False, decoding: bool = True) -> DataFrame:
-    """Adds n_tokens, ids and decoded of each whole text; with digest, SHA-256 of ids and decoded instead; without
-    decoding, no decoded text.
+def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False, decoded_digest: bool = False) -> DataFrame:
+    """Adds n_tokens, ids and decoded of each whole text; with digest, SHA-256 of ids and decoded instead; with
+    decoded_digest, ids as they are and SHA-256 of decoded.
 
     Null and empty texts, and texts of white space alone, have no tokens and decode to an empty string. Every row
     is kept, repeated ones too; columns named as the new ones are replaced and all others pass through. An empty
@@ -330,9 +331,8 @@ def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False, d
     from .common import modest_batches
 
     modest_batches(df)
-    kind = DIGEST if digest else ENCODED
-    kind = kind if decoding else kind.rpartition(", ")[0]
-    made = F.arrow_udf(_encoded(file, digest, decoding), kind)(F.col(text).cast("string"))
+    kind = DIGEST if digest else DECODED_DIGEST if decoded_digest else ENCODED
+    made = F.arrow_udf(_encoded(file, kind), kind)(F.col(text).cast("string"))
     at = "__lode_encoded"
     names = [x.split()[0] for x in kind.split(", ")]
     return df.withColumn(at, made).withColumns({n: F.col(at)[n] for n in names}).drop(at)

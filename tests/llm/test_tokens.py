@@ -84,6 +84,22 @@ def test_frames(spark):
     assert bpe_codec.encode(df.limit(0), BPE).count() == token_count.token_counts(df.limit(0), SPM).count() == 0
 
 
+def test_stage_of_the_pipeline_decodes(spark, sf):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(10**6 + k, x, "en", "src1", 0) for k, x in enumerate([*ODD, None])], docs.schema))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = corpus_pipeline.encoding(spark, docs, sf).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.ids, r.n_tokens) == (ids, len(ids))
+        assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_queries(spark, sf):
     import sentencepiece
     from tokenizers import Tokenizer
