@@ -1,18 +1,27 @@
 """HTML extraction by site template removal.
 
-A tolerant parser turns a page into a stream of tags and text with the span of every element. Each element's
-subtree is hashed by its tags and text; Spark counts, per host, in how many pages of different content a subtree
-occurs, and subtrees that recur are deleted. What the page itself marks as no part of the article (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, comments) goes as well, and where a page has an article or main
-element, only that is its main text. Inside such an element the bar is higher: a whole block goes if it recurs in many
-different articles of the host and in at least half of them. A passage that fewer articles share is no template, nor
-is an article that a site shows on many pages.
+A tolerant parser turns a page into a stream of text pieces with the span of every element, and hashes each element's
+subtree twice, bottom-up: exactly (tags and text), and by its shape (tags and classes, text masked, equal neighbours
+once, so that menus of five and of six links have one shape). Spark counts, per host, on how many pages of different
+content a hash occurs, and subtrees that recur are deleted:
+
+    outside article and main    what recurs exactly on `min_pages` pages, however many the host has; where the page
+                                has an article or main element, also what recurs in shape on that many pages and on
+                                `shape_share` of those of its host that have one
+    inside article and main     whole blocks that recur exactly in `min_articles` different articles and in
+                                `article_share` of those of the host: passages that fewer share are no template
+
+What a page itself marks as no part of the article (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, reader comments) goes as well; that decides alone on hosts too small to count, where the article or main
+element, if there is one, is all that stays. Ids are read outside such an element only.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -29,7 +38,7 @@ TOKEN = re.compile(
     r"|<(?P<e2>/?)(?P<n2>[a-zA-Z][^\s/<>]*+)(?P<v2>[^<>]*+)>",
     re.S,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "title", "textarea", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
@@ -44,59 +53,118 @@ BOUNDS = {"ul", "ol", "dl", "table", "article", "main", "section", "div", "body"
 WORDS = "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation topnav breadcrumb breadcrumbs footer masthead comment comments disqus respond replies newsletter subscribe popup modal overlay share sharing social related recommended widget login signup skip".split()
 NAMED = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(WORDS)}|side-?bar|(?:site|page|top|global)[_-]?header)(?:$|[\s_-])", re.I)
 COMMENT = re.compile(r"(?:^|\s)comments?(?:$|\s)", re.I)
+#: Inside these an inline element is a word or link of running text.
+PROSE = set("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre figcaption caption".split())
 #: Elements that are no blocks of their own inside an article: parts of lists and tables, and headings, recur as words do.
 PARTS = set("li dt dd tr td th thead tbody tfoot caption h1 h2 h3 h4 h5 h6 html body head".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 
 
+class Element(NamedTuple):
+    name: str
+    first: int
+    end: int
+    #: what is never text, such as scripts; what the page marks as no article; an article or main element; what lies in
+    #: one; what has one inside; an inline element in running text
+    raw: bool
+    marked: bool
+    main: bool
+    inside: bool
+    around: bool
+    prose: bool
+    exact: int
+    shape: int
+
+
+class Open:
+    """An element that isn't closed yet."""
+
+    __slots__ = ("name", "first", "marked", "main", "around", "prose", "text", "hash", "look", "shapes")
+
+    def __init__(self, name: str, first: int, marked: bool, main: bool, prose: bool, classes: str):
+        self.name, self.first, self.marked, self.main, self.prose = name, first, marked, main, prose
+        self.around = self.text = False
+        self.hash = xxhash.xxh64(name)
+        self.look, self.shapes = f"{name}.{classes}", []
+
+    def has(self, shape: str) -> None:
+        if not self.shapes or self.shapes[-1] != shape:
+            self.shapes.append(shape)
+
+
 class Page:
-    """The text pieces of a page, and its elements as spans of them."""
+    """The text pieces of a page, and its elements with text as spans of them. Time is linear in the page."""
 
     def __init__(self, source: str):
         self.pieces: list[str] = []
-        #: name, first piece, end piece, whether it is marked as no article, whether it lies in article or main
-        self.elements: list[tuple[str, int, int, bool, bool]] = []
+        self.elements: list[Element] = []
         self._parse(source)
-        self.main_spans = [(a, b) for n, a, b, _, _ in self.elements if n in MAIN and b > a]
+        self.mains = [e for e in self.elements if e.main and not e.marked]
 
     def _parse(self, s: str) -> None:
         pieces, stack, at, n = self.pieces, [], 0, len(s)
+        #: places on the stack by name, and those of elements that aren't inline
+        places: dict[str, list[int]] = {}
+        blocks: list[int] = []
         lower = None
         inside = 0
 
+        def put(text: str) -> None:
+            pieces.append(text)
+            if stack and (words := text.split()):
+                top = stack[-1]
+                top.text = True
+                top.hash.update("\1" + " ".join(words))
+                top.has("t")
+
         def close(k: int) -> None:
             nonlocal inside
             while len(stack) > k:
-                name, first, marked, main = stack.pop()
-                if main:
-                    inside -= 1
-                self.elements.append((name, first, len(pieces), marked, inside > 0))
+                o = stack.pop()
+                places[o.name].pop()
+                if o.name not in INLINE:
+                    blocks.pop()
+                inside -= o.main
+                exact = o.hash.intdigest()
+                inline = o.name in INLINE and o.name != "a"
+                shape = "t" if inline else xxhash.xxh64_hexdigest(f"{o.look}({','.join(o.shapes)})")
+                if stack:
+                    up = stack[-1]
+                    up.around |= o.main or o.around
+                    if o.text:
+                        up.text = True
+                        up.hash.update(f"\2{exact:x}")
+                        up.has(shape)
+                if o.text:
+                    self.elements.append(Element(o.name, o.first, len(pieces), False, o.marked, o.main, inside > 0, o.around, o.prose, exact, 0 if inline else int(shape, 16)))
+
+        def last(names) -> int:
+            return max((places[x][-1] for x in names if places.get(x)), default=-1)
 
         while at < n:
             m = TOKEN.search(s, at)
             if not m:
-                pieces.append(html.unescape(s[at:]))
+                put(html.unescape(s[at:]))
                 break
             if m.start() > at:
                 text = s[at : m.start()]
-                pieces.append(html.unescape(text) if "&" in text else text)
+                put(html.unescape(text) if "&" in text else text)
             at = m.end()
             name = m["n"] or m["n2"]
             if not name:
                 if m.group().startswith("<![CDATA["):
-                    pieces.append(m.group()[9:].removesuffix("]]>"))
+                    put(m.group()[9:].removesuffix("]]>"))
                 continue
             name = name.lower()
             block = name not in FLOWING
             if m["e"] or m["e2"]:
                 if name == "p" or name == "br":
                     pieces.append(" ")
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
+                if places.get(name):
+                    k = places[name][-1]
+                    # an inline end tag closes no block
+                    if name not in INLINE or not blocks or blocks[-1] < k:
                         close(k)
-                        break
-                    if name in INLINE and stack[k][0] not in INLINE:
-                        break  # an inline end tag closes no block
                 if block:
                     pieces.append(" ")
                 continue
@@ -104,27 +172,29 @@ class Page:
                 pieces.append(" ")
             if name in VOID:
                 continue
-            if name in ENDS or (block and name != "br"):
+            if name in ENDS or block:
                 ends = ENDS.get(name, ())
-                for k in range(len(stack) - 1, -1, -1):
-                    open_name = stack[k][0]
-                    if open_name in ends or open_name == "p":
-                        close(k)
-                        if not ends:
-                            break
-                    elif open_name in BOUNDS and open_name not in ends:
+                while True:
+                    k = last((*ends, "p"))
+                    if k < 0 or k < last(BOUNDS.difference(ends)):
+                        break
+                    close(k)
+                    if not ends:
                         break
-            marked = name in DROP
+            marked, classes = name in DROP, ""
             main = name in MAIN
             values = m["v"] or m["v2"]
-            if values and not marked and name not in ("html", "body"):
+            if values and name not in ("html", "body"):
                 for a, *v in ATTRIBUTE.findall(values):
-                    value = "".join(v)
-                    if a.lower() == "role":
+                    a, value = a.lower(), "".join(v)
+                    if a == "role":
                         marked |= value.strip().lower() in ROLES
                         main |= value.strip().lower() == "main"
-                    else:
+                    elif a == "class":
+                        classes = " ".join(sorted(value.split()))
                         marked |= bool((COMMENT if main else NAMED).search(value))
+                    elif not inside and not main:
+                        marked |= bool(NAMED.search(value))
             if name == "header" and not inside:
                 marked = True
             if name in RAW:
@@ -133,96 +203,78 @@ class Page:
                 end = lower.find(f"</{name}", at)
                 first = len(pieces)
                 text = s[at : n if end < 0 else end]
-                pieces.append(text)
-                self.elements.append((name, first, len(pieces), marked, inside > 0))
+                if marked:
+                    pieces.append(text)
+                else:
+                    put(text)
+                self.elements.append(Element(name, first, len(pieces), marked, marked, False, inside > 0, False, False, 0, 0))
                 if end < 0:
                     break
                 at = s.find(">", end) + 1 or n
                 continue
-            stack.append((name, len(pieces), marked, main))
-            if main:
-                inside += 1
+            prose = bool(stack) and (stack[-1].prose or stack[-1].name in PROSE)
+            places.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
+            stack.append(Open(name, len(pieces), marked, main, prose, classes))
+            inside += main
         close(0)
 
-    def subtrees(self) -> list[tuple[int, int, int]]:
-        """Hash, first and end piece of each element with text outside article and main, html and body left out."""
-        out, cuts = [], {}
-        for k, (name, a, b, _, _) in enumerate(self.elements):
-            cuts.setdefault(a, []).append(name)
-        for name, a, b, _, inside in self.elements:
-            if inside or name in MAIN or name in ("html", "body", "head") or name in RAW or b <= a:
+    def candidates(self, host: str | None) -> list[tuple[int, int, int]]:
+        """Key, first and end piece of what may be a template, and one key without a span for a page with an article."""
+        out = [(_host_key(host, 0, ARTICLE), 0, 0)] if self.mains else []
+        for e in self.elements:
+            if e.raw or e.main or e.around or e.name in WHOLE or e.name in RAW:
                 continue
-            if any(a <= x and y <= b for x, y in self.main_spans):
-                continue
-            text = " ".join("".join(self.pieces[a:b]).split())
-            if text:
-                shape = ",".join(x for k in range(a, b) for x in cuts.get(k, ()))
-                out.append((xxhash.xxh64_intdigest(f"{name}|{shape}|{text}") - (1 << 63), a, b))
+            if e.inside:
+                if not (e.marked or e.name in PARTS or e.name in FLOWING):
+                    out.append((_host_key(host, e.exact, BLOCK), e.first, e.end))
+            elif not (e.name in FLOWING and e.prose):
+                out.append((_host_key(host, e.exact, EXACT), e.first, e.end))
+                if self.mains and e.name not in FLOWING:
+                    out.append((_host_key(host, e.shape, SHAPE), e.first, e.end))
         return out
 
-    def blocks(self) -> list[tuple[int, int, int]]:
-        """The same of each block with text inside article and main, without what is marked."""
-        out, cuts = [], {}
-        for name, a, _, _, _ in self.elements:
-            cuts.setdefault(a, []).append(name)
-        for name, a, b, marked, inside in self.elements:
-            if not inside or marked or b <= a or name in MAIN or name in PARTS or name in FLOWING or name in RAW:
-                continue
-            text = " ".join("".join(self.pieces[a:b]).split())
-            if text:
-                shape = ",".join(x for k in range(a, b) for x in cuts.get(k, ()))
-                out.append((xxhash.xxh64_intdigest(f"in main|{name}|{shape}|{text}") - (1 << 63), a, b))
-        return out
-
-    def candidates(self, host: str | None, own: bool = True) -> list[tuple[int, int, int, int]]:
-        """Key, hash, first and end piece of what may be a template. With own, what can't be in the page's text is left out."""
-        outer = [] if own and self.mains() else self.subtrees()
-        return [(_host_key(host, x, False), x, a, b) for x, a, b in outer] + [(_host_key(host, x, True), x, a, b) for x, a, b in self.blocks()]
-
-    def mains(self) -> list[tuple[int, int]]:
-        found = [(a, b) for n, a, b, marked, _ in self.elements if n in MAIN and not marked]
-        return found if any("".join(self.pieces[a:b]).strip() for a, b in found) else []
-
-    def text(self, template: set[int] | frozenset = frozenset(), hashed: list[tuple[int, int, int]] | None = None) -> str:
+    def text(self, found: Iterable[tuple[int, int, int]] = (), marks: bool = True) -> str:
+        """The main text without the candidates `found`; without marks, only these and what is never text go."""
         keep = bytearray(b"\1") * len(self.pieces)
-        mains = self.mains()
-        if mains:
+        counted = False
+        for key, _, _ in found:
+            counted |= key & 3 == ARTICLE
+        if self.mains and marks and not counted:
             keep = bytearray(len(self.pieces))
-            for a, b in mains:
-                keep[a:b] = b"\1" * (b - a)
-        for name, a, b, marked, _ in self.elements:
-            if marked and not (name not in DROP and any(a <= x and y <= b for x, y in mains)):
-                keep[a:b] = bytes(b - a)
-        if template:
-            whole = bytes(keep)
-            for h, a, b in self.subtrees() + self.blocks() if hashed is None else hashed:
-                if h in template:
-                    keep[a:b] = bytes(b - a)
-            if mains and not any(k and p.strip() for p, k in zip(self.pieces, keep)):
-                keep = whole  # an article isn't emptied
+            for e in self.mains:
+                keep[e.first : e.end] = b"\1" * (e.end - e.first)
+        for e in self.elements:
+            if e.raw or marks and e.marked and (e.name in DROP or not e.around or not self.mains):
+                keep[e.first : e.end] = bytes(e.end - e.first)
+        whole = bytes(keep)
+        for _, a, b in found:
+            keep[a:b] = bytes(b - a)
+        if self.mains and not any(k and not p.isspace() for p, k in zip(self.pieces, keep)):
+            keep = whole  # an article isn't emptied
         return " ".join("".join(p if k else " " if p == " " else "" for p, k in zip(self.pieces, keep)).split())
 
 
-def _host_key(host: str | None, subtree: int, inside: bool) -> int:
-    """Odd for blocks inside article and main, even for others."""
-    return (xxhash.xxh64_intdigest(f"{host}\n{subtree}") >> 1 << 1 | inside) - (1 << 63)
+#: Kinds of keys, their lowest two bits.
+EXACT, BLOCK, SHAPE, ARTICLE = range(4)
+WHOLE = {"html", "body", "head"}
 
 
-#: The keys under which a host's different pages and articles are counted.
-PAGES, ARTICLES = 0, 1
+def _host_key(host: str | None, subtree: int, kind: int) -> int:
+    return (xxhash.xxh64_intdigest(f"{host}\n{subtree}\n{kind}") >> 2 << 2 | kind) - (1 << 63)
 
 
 #: So many templates at most are sent to every executor (8 bytes each); more are joined to their pages instead.
 MOST_BROADCAST = 2_000_000
 
 
-def recurring(pages: DataFrame, host: Column, source: str, min_pages: int, min_share: float, min_articles: int, article_share: float) -> DataFrame:
-    """(key,): host and subtree, hashed together, of subtrees that recur on enough pages of a host.
+def recurring(pages: DataFrame, host: Column, source: str, min_pages: int, shape_share: float, min_articles: int, article_share: float) -> DataFrame:
+    """(key,): host and subtree, hashed together, of subtrees that recur; see the module for the bars.
 
-    Pages of a host with the same text outside their templates count once, in numbers and in what shares are of. Counts are combined before they are
-    shuffled, so a host with a third of all pages isn't gathered anywhere.
+    Pages of a host with the same text outside their templates count once, in numbers and in what shares are of.
+    Counts are combined before they are shuffled, so a host with a third of all pages isn't gathered anywhere.
     """
-
     from .common import cut
 
     def subtrees(hosts: pa.Array, sources: pa.Array) -> pa.Array:
@@ -230,39 +282,34 @@ def recurring(pages: DataFrame, host: Column, source: str, min_pages: int, min_s
         for h, s in zip(hosts.to_pylist(), sources):
             p = Page(s.as_py() or "")
             content = xxhash.xxh64_intdigest(p.text()) - (1 << 63)
-            keys = {k for k, _, _, _ in p.candidates(h, own=False)} | {PAGES}
-            if any(inside for _, _, _, _, inside in p.elements):
-                keys.add(ARTICLES)
-            rows.append({"keys": sorted(keys), "content": content})
+            rows.append({"keys": sorted({k for k, _, _ in p.candidates(h)}), "content": content})
         return pa.array(rows, pa.struct([("keys", pa.list_(pa.int64())), ("content", pa.int64())]))
 
     found = pages.select(host.alias("h"), F.arrow_udf(subtrees, "keys array<long>, content long")(host, F.col(source)).alias("s"))
     each = found.select(F.xxhash64("h").alias("h"), "s.content", F.explode("s.keys").alias("key")).distinct()
     found = cut(each.groupBy("h", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min(min_pages, min_articles)))
-    odd = F.col("key").bitwiseAND(F.lit(1)) == 1
-    articles = found.filter(F.col("key") == ARTICLES).select("h", F.col("n").alias("articles"))
-    blocks = found.filter(odd & (F.col("key") != ARTICLES) & (F.col("n") >= min_articles)).join(articles, "h").filter(F.col("n") >= F.col("articles") * article_share)
-    counts = found.filter(~odd & (F.col("key") != PAGES) & (F.col("n") >= min_pages))
-    if min_share > 0:
-        hosts = found.filter(F.col("key") == PAGES).select("h", F.col("n").alias("pages"))
-        counts = counts.join(hosts, "h").filter(F.col("n") >= F.col("pages") * min_share)
-    return counts.select("key").unionByName(blocks.select("key"))
+    kind = F.col("key").bitwiseAND(F.lit(3))
+    articles = found.filter(kind == ARTICLE).select("h", F.col("n").alias("articles"))
+    shared = found.filter(kind.isin(BLOCK, SHAPE)).join(articles, "h")
+    block = (kind == BLOCK) & (F.col("n") >= min_articles) & (F.col("n") >= F.col("articles") * article_share)
+    shape = (kind == SHAPE) & (F.col("n") >= min_pages) & (F.col("n") >= F.col("articles") * shape_share)
+    return found.filter(kind.isin(EXACT, ARTICLE) & (F.col("n") >= min_pages)).select("key").unionByName(shared.filter(block | shape).select("key"))
 
 
-def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str = "page_id", out: str = "text", min_pages: int = 5, min_share: float = 0.0, most_broadcast: int = MOST_BROADCAST, min_articles: int = 20, article_share: float = 0.5) -> DataFrame:
+def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str = "page_id", out: str = "text", min_pages: int = 5, shape_share: float = 0.5, most_broadcast: int = MOST_BROADCAST, min_articles: int = 20, article_share: float = 0.5, marks: bool = True) -> DataFrame:
     """Adds the main text of each page; see the module's own words for what that is.
 
     Null and empty pages, and pages without text, have an empty text. Pages without a host form one site. Every row
     is kept, repeated ones too; a column named as `out` is replaced, others pass through; an empty table gives an
-    empty table. Outside article and main, a subtree goes that recurs on `min_pages` different pages of a host however
-    many it has; `min_share` asks for that share of its different pages besides. Inside article and main, a block goes that at least `min_articles` different articles of a host have,
-    and at least `article_share` of them. `key` need not be unique or non-null: it isn't used but for joining, with all its equals alike.
+    empty table. The bars don't rise with a host's size but where a share is asked for; a host of fewer than
+    `min_pages` different pages is left to what its pages mark. With marks=False only counts decide (and scripts and
+    the like go), so that their part can be told. `key` isn't looked at.
     """
     from .common import cut, modest_batches
 
     modest_batches(df)
     host = host_and_path(F.col(url).cast("string"))[0]
-    keys = cut(recurring(df, host, source, min_pages, min_share, min_articles, article_share))
+    keys = cut(recurring(df, host, source, min_pages, shape_share, min_articles, article_share))
     if keys.count() <= most_broadcast:
         shared = df.sparkSession.sparkContext.broadcast(frozenset(r.key for r in keys.collect()))
 
@@ -270,25 +317,20 @@ def extract_text(df: DataFrame, url: str = "url", source: str = "html", key: str
             known, texts = shared.value, []
             for h, s in zip(hosts.to_pylist(), sources):
                 p = Page(s.as_py() or "")
-                found = [c[1:] for c in p.candidates(h) if c[0] in known] if known else []
-                texts.append(p.text({x for x, _, _ in found}, found))
+                texts.append(p.text([c for c in p.candidates(h) if c[0] in known] if known else (), marks))
             return pa.array(texts, pa.string())
 
         return df.withColumn(out, F.arrow_udf(text, "string")(host, F.col(source)))
 
     def own(hosts: pa.Array, sources: pa.Array) -> pa.Array:
-        rows = []
-        for h, s in zip(hosts.to_pylist(), sources):
-            p = Page(s.as_py() or "")
-            rows.append(sorted({k for k, _, _, _ in p.candidates(h)}))
+        rows = [sorted({k for k, _, _ in Page(s.as_py() or "").candidates(h)}) for h, s in zip(hosts.to_pylist(), sources)]
         return pa.array(rows, pa.list_(pa.int64()))
 
     def strip(hosts: pa.Array, sources: pa.Array, found: pa.Array) -> pa.Array:
         texts = []
         for h, s, f in zip(hosts.to_pylist(), sources, found.to_pylist()):
             p, f = Page(s.as_py() or ""), set(f or ())
-            mine = [c[1:] for c in p.candidates(h) if c[0] in f] if f else []
-            texts.append(p.text({x for x, _, _ in mine}, mine))
+            texts.append(p.text([c for c in p.candidates(h) if c[0] in f], marks))
         return pa.array(texts, pa.string())
 
     # Many templates: those of each page are found by a join, and only pages that have some are joined to them.

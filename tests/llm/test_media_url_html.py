@@ -145,8 +145,18 @@ def test_broken_pages_take_no_longer():
     assert page("<a" * 30000).startswith("<a<a") and page("<p title='x>y") == "y"
     assert page('<p a="b>c</p>d<p e="f">g') != "" and page("<b>" * 5000 + "x" + "</p>" * 5000) == "x"
     assert len(page("<div><span>w</span> " * 3000).split()) == 3000
-    assert html_text.Page("<div>x<i>y</i></div>" * 2000).subtrees()
+    assert html_text.Page("<div>x<i>y</i></div>" * 2000).candidates("h")
     assert time.time() - began < 20
+    n = 8000
+    for deep in ("<b>" * n + "<h2>x</h2>" * n, "<div>" * n + "</i>" * n + "x", "<div>" * n + "x", "<p><div>" + "<b>" * n + "<h2>x</h2>" * n, "<td><b>" * n + "<tr>x" * n):
+        took = {}
+        for part in (2, 1):
+            cut = deep if part == 1 else deep[: len(deep) // 2]
+            began = time.time()
+            p = html_text.Page(cut)
+            p.candidates("h"), p.text()
+            took[part] = time.time() - began
+        assert took[1] < 3, deep[:9]
 
 
 def test_templates_are_removed_either_way(spark):
@@ -160,7 +170,7 @@ def test_templates_are_removed_either_way(spark):
     want = {k: f"Story {k} Own words {k}." for k in range(12)} | {100 + k: "Top of site One story on many pages" for k in range(12)}
     want |= {200 + k: f"Shared passage {k}" for k in range(12)} | {300: "", 301: "", 302: "Top of site"}
     for most in (1000, 0):
-        got = html_text.extract_text(df, min_share=0.1, most_broadcast=most)
+        got = html_text.extract_text(df, most_broadcast=most)
         assert got.count() == len(rows) and {r.page_id: r.text for r in got.collect()} == want
         assert html_text.extract_text(df.limit(0), most_broadcast=most).count() == 0
 
@@ -171,8 +181,6 @@ def test_templates_of_hosts_with_many_copies(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
     assert got == {k: f"Story {k % 15}" for k in range(10_000)} | {20_000 + k: f"Page {k}" for k in range(4000)}
-    shared = {r.page_id: r.text for r in html_text.extract_text(df, min_share=0.1).collect()}
-    assert shared[0] == "Story 0" and shared[20_000] == "Top of site Page 0"
 
 
 def test_blocks_that_a_site_repeats_inside_its_articles(spark):
@@ -189,6 +197,36 @@ def test_blocks_that_a_site_repeats_inside_its_articles(spark):
         assert {r.page_id: r.text for r in html_text.extract_text(df, most_broadcast=most).collect()} == want
 
 
+def test_ids_and_data_delete_nothing_in_an_article():
+    kept = "<h2 id='Related'>Related work</h2><section id='share-prices'>Prices</section><p data-id='ad' data-class='ad'>Data</p>"
+    assert page(f"<article>{kept}<p class='ad'>x</p></article>") == "Related work Prices Data"
+    assert page("<p data-id='ad'>y</p><div id='ad'>z</div>") == "y"
+
+
+def test_counts_decide_on_pages_with_an_article(spark):
+    """Furniture with nothing that marks it, its text another on every page, before and after an article."""
+    links = lambda k: "".join(f"<li><a href=x>L{k}{j}</a>" for j in range(3 + k % 3))
+    body = lambda k: f"<h1>T {k}</h1><p>Words of {k}.</p><p>Passage</p>"
+    rows = [(k, "http://h.org/%d" % k, f"<div class=a><ul>{links(k)}</ul></div><article>{body(k)}</article><div class=b>Made by {k}</div>{'<p>Only here</p>' if k == 3 else ''}") for k in range(8)]
+    rows += [(100 + k, "http://i.org/%d" % k, f"<div>Alone {k}</div><article>{body(k)}</article>") for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: f"T {k} Words of {k}. Passage" + " Only here" * (k == 3) for k in range(8)} | {100 + k: f"T {k} Words of {k}. Passage" for k in range(3)}
+    for most in (1000, 0):
+        assert {r.page_id: r.text for r in html_text.extract_text(df, most_broadcast=most).collect()} == want
+    plain = {r.page_id: r.text for r in html_text.extract_text(df, marks=False).collect()}
+    assert plain == {k: f"Alone {k - 100} {v}" if k >= 100 else v for k, v in want.items()}
+    off = {r.page_id: r.text for r in html_text.extract_text(df, marks=False, min_pages=10**9).collect()}
+    assert all(off[k] != want[k] for k in want)
+
+
+def test_counts_alone_on_whole_tables(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    full, counted, off = ({r.page_id: r.text for r in html_text.extract_text(pages, **how).select("page_id", "text").collect()} for how in ({}, {"marks": False}, {"marks": False, "min_pages": 10**9}))
+    share = sum(counted[k] == full[k] for k in full) / len(full)
+    print("counts alone give the whole result on", share)
+    assert share > 0.95 and not any(off[k] == full[k] for k in full)
+
+
 def test_html_query(spark, sf):
     import html
 
