@@ -3,7 +3,8 @@
 Each group of sources has a target share of the mixture, hence a mean number of repetitions of its documents. A
 document's own number is a Poisson variable of that mean, by inverting the distribution at a uniform number made of
 the document's hash and a seed; the document is exploded by it, and copies are shuffled globally by a second hash.
-The same seed gives the same mixture on any cluster.
+A mean above PART is a sum of equal parts, each inverted at a uniform number of its own: a sum of independent Poisson
+variables is one. The same seed gives the same mixture on any cluster.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 OTHER = "*"
 #: More groups than this are refused: their table is kept in the plan.
 MOST_GROUPS = 10_000
-LARGEST_MEAN = 500.0
+#: The largest mean that is inverted at once: exp(-PART) is far from underflow.
+PART = 500.0
 
 
 def uniform(key: Column, seed: str) -> Column:
@@ -46,7 +48,7 @@ def mix_sources(df: DataFrame, weights: dict[str, float], key: str = "doc_id", s
     groups without rows go to the rest in proportion. A row of weight 0 is left out, as is one whose Poisson number
     is 0: that is what the operator is for. Rows with equal keys have equal numbers; null keys count as empty text.
     Texts aren't looked at. Columns copy, group and place are replaced, others pass through. An empty table gives
-    an empty table. Every mean is at most 500.
+    an empty table. Means have no upper bound: work grows with the rows of the mixture.
     """
     spark = df.sparkSession
     named = {s: w for s, w in weights.items() if s != OTHER}
@@ -59,19 +61,26 @@ def mix_sources(df: DataFrame, weights: dict[str, float], key: str = "doc_id", s
     total = sum(counts.values())
     there = math.fsum(weights.get(g, 0.0) for g in sorted(counts))
     means = {g: (size * total * (weights.get(g, 0.0) / there) / n if there else 0.0) for g, n in counts.items()}
-    if any(m > LARGEST_MEAN for m in means.values()):
-        raise ValueError(f"a mean of more than {LARGEST_MEAN} repetitions")
-    # The steps of each group's distribution, a table as small as `weights`.
-    steps = spark.createDataFrame([(g, cumulative(m)) for g, m in sorted(means.items()) if m > 0], "`__lode_g` string, `__lode_cdf` array<double>")
-    out = df.withColumn("__lode_g", group).join(F.broadcast(steps), "__lode_g")
-    u = uniform(F.col(key), seed)
-    out = out.withColumn("__lode_u", u).withColumn("__lode_n", F.size(F.filter("__lode_cdf", lambda c: c <= F.col("__lode_u"))))
-    out = out.drop("__lode_cdf", "__lode_u", "copy", "group", "place").filter("__lode_n > 0")
+    # The steps of each group's distribution, and how many parts it has: a table as small as `weights`.
+    parts = {g: max(1, math.ceil(m / PART)) for g, m in means.items()}
+    steps = spark.createDataFrame([(g, cumulative(m / parts[g]), parts[g]) for g, m in sorted(means.items()) if m > 0], "`__lode_g` string, `__lode_cdf` array<double>, `__lode_parts` int")
+    # Rows that are equal in all columns are still spread by the partition that they come from.
+    salt = F.pmod(F.xxhash64(*(F.col("`" + c.replace("`", "``") + "`").cast("string") for c in df.columns), F.spark_partition_id()), F.lit(1 << 20)) if shuffle else F.lit(0)
+    out = df.withColumn("__lode_salt", salt).withColumn("__lode_g", group).join(F.broadcast(steps), "__lode_g")
+    first = F.size(F.filter("__lode_cdf", lambda c: c <= F.col("__lode_u")))
+
+    def add(total: Column, j: Column) -> Column:
+        u = uniform(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), j.cast("string")), seed + "-part")
+        return total + F.size(F.filter("__lode_cdf", lambda c: c <= u))
+
+    rest = F.when(F.col("__lode_parts") > 1, F.aggregate(F.sequence(F.lit(1), F.col("__lode_parts") - 1), F.lit(0), add)).otherwise(0)
+    out = out.withColumn("__lode_u", uniform(F.col(key), seed)).withColumn("__lode_n", first + rest)
+    out = out.drop("__lode_cdf", "__lode_u", "__lode_parts", "copy", "group", "place").filter("__lode_n > 0")
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__lode_n") - 1))).drop("__lode_n").withColumnRenamed("__lode_g", "group")
     out = out.withColumn("place", uniform(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.col("copy").cast("string")), seed + "-place"))
-    # A row's partition and its order there are both hashes of its copy: copies of one row, and rows of one source,
-    # end up anywhere.
-    return out.repartition("place").sortWithinPartitions("place") if shuffle else out
+    # A row's partition and its order there are both hashes of its copy: copies of one row, rows of one source and
+    # rows of one key end up anywhere.
+    return out.repartition("place", "__lode_salt").drop("__lode_salt").sortWithinPartitions("place") if shuffle else out.drop("__lode_salt")
 
 
 #: The production mixture: the crawl's largest source gives a tenth, curated ones more than their share.
@@ -92,11 +101,13 @@ WITH RECURSIVE w(g, w) AS (VALUES {values}),
 d AS (SELECT *, CASE WHEN source IN ({named}) THEN source ELSE '*' END AS g FROM documents),
 c AS (SELECT g, count(*) AS n FROM d GROUP BY g),
 t AS (SELECT sum(n) AS total, sum(w) AS there FROM c JOIN w USING (g)),
-m AS (SELECT g, total * (w / there) / n AS mean FROM c JOIN w USING (g), t),
+m AS (SELECT g, mean / ceil(greatest(mean, 1e-9) / {PART}) AS mean, ceil(greatest(mean, 1e-9) / {PART})::BIGINT AS parts
+  FROM (SELECT g, total * (w / there) / n AS mean FROM c JOIN w USING (g), t)),
 steps(g, mean, k, p, s) AS (
   SELECT g, mean, 0, exp(-mean), exp(-mean) FROM m
   UNION ALL SELECT g, mean, k + 1, p * mean / (k + 1), s + p * mean / (k + 1) FROM steps WHERE s < 1 - 1.2e-16 AND (k < mean OR p > 1e-18)),
-u AS (SELECT *, ('0x' || substr(md5(doc_id || '|mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u FROM d),
+u AS (SELECT d.doc_id, d.g, ('0x' || substr(md5(CASE WHEN x.j = 0 THEN doc_id || '|mix' ELSE doc_id || '|' || x.j || '|mix-part' END), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  FROM d JOIN m USING (g), LATERAL (SELECT unnest(range(parts)) AS j) x),
 r AS (SELECT u.doc_id, count(*) AS reps FROM u JOIN steps s ON u.g = s.g AND s.s <= u.u GROUP BY u.doc_id)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, d.g AS "group", x.copy::INTEGER AS copy,
   ('0x' || substr(md5(d.doc_id || '|' || x.copy || '|mix-place'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS place

@@ -206,6 +206,41 @@ def test_mixture(spark):
         mixing.mix_sources(df, {"hot": -1.0})
 
 
+def test_large_means_and_hot_keys(spark):
+    """A rare source of a large share, and rows that are equal in every column."""
+    rows = [(k, "a") for k in range(4000)] + [(None, "rare")] * 2 + [(5000, "rare")]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    mixed = mixing.mix_sources(df, {"rare": 0.9, "*": 0.1})
+    each = {r.doc_id: r.n for r in mixed.filter("source = 'rare'").groupBy("doc_id").count().withColumnRenamed("count", "n").collect()}
+    mean = 4003 * 0.9 / 3
+    assert abs(each[None] / 2 - mean) < 6 * mean**0.5 and abs(each[5000] - mean) < 6 * mean**0.5
+    plan = mixing.mix_sources(spark.range(40).selectExpr("id AS doc_id", "if(id = 0, 'big', 'x') AS source"), {"big": 0.999, "*": 0.001}, size=5000.0, shuffle=False)
+    n = plan.filter("source = 'big'").count()
+    assert abs(n - 199_800) < 6 * 199_800**0.5
+    same = spark.createDataFrame([(7, "a")] * 4000, "doc_id long, source string").repartition(8)
+    spread = mixing.mix_sources(same, {"*": 1.0}, size=9.0)
+    from pyspark.sql import functions as F
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = [r["count"] for r in spread.filter("copy = 0").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(held) == 4000 and max(held) < 3600
+
+
+def test_large_means_in_sql(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    docs = spark.createDataFrame([(k, "t", "en", "src0" if k else "src5", 1) for k in range(12_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(db.sql(f"SELECT doc_id, count(*) FROM ({mixing.SQL}) GROUP BY 1").fetchall())
+    got = {r.doc_id: r["count"] for r in mixing.op2(spark, str(tmp_path)).groupBy("doc_id").count().collect()}
+    assert got == want and got[0] > 3000
+
+
 def test_poisson_steps():
     for mean in (0.01, 1.0, 30.0, 400.0):
         c = mixing.cumulative(mean)
