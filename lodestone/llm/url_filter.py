@@ -94,15 +94,17 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-#: More rules than this would make a plan too large; they are refused.
-MOST_RULES = 2000
+#: More rules than this are joined instead of written into the plan.
+IN_PLAN = 200
+#: So many rules at most are sent to every executor when they are joined.
+MOST_BROADCAST = 100_000
+#: Parts into which a hot host or suffix is spread where a side is too large to be sent.
+SALTS = 32
 
 
 def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """The rule that fits and its verdict, both null if none does. rules: (verdict, host/path); the longest that
     fits wins, the first among equals."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, rule in sorted(reversed(rules), key=lambda r: len(r[1])):
         h, slash, p = rule.partition("/")
@@ -111,11 +113,44 @@ def matching_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> t
     return name, verdict
 
 
-def judge_urls(df: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple[str, str, int]] | None = None, url: str = "url", threshold: float = 0.5) -> DataFrame:
+def _salted(big: DataFrame, small: DataFrame, keys: list[str], by: Column, small_rows: int, most: int, how: str = "inner") -> DataFrame:
+    """big joined to small, which is sent where it is small; else a key's rows in big are spread over SALTS copies."""
+    if small_rows <= most:
+        return big.join(F.broadcast(small), keys, how)
+    many = small.withColumn("__lode_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return big.withColumn("__lode_salt", F.pmod(by, F.lit(SALTS)).cast("int")).join(many, [*keys, "__lode_salt"], how).drop("__lode_salt")
+
+
+def joined_rules(df: DataFrame, host: str, path: str, rules: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """As matching_rule, for any number of rules (verdict, rule, place): df with columns rule and verdict.
+
+    Different URLs are joined by their hosts' suffixes to the lengths of path prefixes that rules for them have, then
+    by suffix and prefix to the rules; so work grows with labels and lengths, not with rules."""
+    slash = F.instr("rule", "/")
+    rules = rules.filter("rule IS NOT NULL").groupBy("rule").agg(F.min(F.struct("place", "verdict")).alias("x")).select(
+        F.when(slash > 0, F.substring_index("rule", "/", 1)).otherwise(F.col("rule")).alias("__lode_s"), F.when(slash > 0, F.expr("substring(rule, instr(rule, '/'))")).otherwise("").alias("__lode_f"),
+        F.struct(F.length("rule").alias("n"), (-F.col("x.place")).alias("o"), F.col("rule").alias("rule"), F.col("x.verdict").alias("verdict")).alias("__lode_r"),
+    )
+    lengths = rules.groupBy("__lode_s").agg(F.collect_set(F.length("__lode_f")).alias("__lode_n"))
+    n = rules.count()
+    urls = df.select(F.col(host).alias("__lode_h"), F.col(path).alias("__lode_p")).distinct()
+    labels = F.split("__lode_h", "[.]", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    by = F.xxhash64("__lode_h", "__lode_p", F.lit(3))
+    found = _salted(urls.withColumn("__lode_s", F.explode(suffixes)), lengths, ["__lode_s"], by, n, most_broadcast)
+    found = found.withColumn("__lode_k", F.explode(F.filter("__lode_n", lambda k: k <= F.length("__lode_p")))).withColumn("__lode_f", F.expr("substring(__lode_p, 1, __lode_k)"))
+    found = _salted(found, rules, ["__lode_s", "__lode_f"], by, n, most_broadcast)
+    best = found.groupBy("__lode_h", "__lode_p").agg(F.max("__lode_r").alias("__lode_r")).select(F.col("__lode_h").alias(host), F.col("__lode_p").alias(path), "__lode_r")
+    out = _salted(df, best, [host, path], F.xxhash64(F.monotonically_increasing_id()), most_broadcast + 1, most_broadcast, "left")
+    return out.withColumns({"rule": F.col("__lode_r.rule"), "verdict": F.col("__lode_r.verdict")}).drop("__lode_r")
+
+
+def judge_urls(df: DataFrame, rules: list[tuple[str, str]] | DataFrame, labelled: list[tuple[str, str, int]] | None = None, url: str = "url", threshold: float = 0.5, in_plan: int = IN_PLAN) -> DataFrame:
     """Adds host, path, rule, verdict (allow or block) and block_score, the regression's probability.
 
-    A null url, or one without `://`, has empty host and path, fits no rule and is judged by the regression on empty
-    strings, which allows it. Every row is kept, repeated ones too; columns named as the new ones are replaced,
+    rules: (verdict, host/path) in a list, or a DataFrame (verdict, rule) of any size; of those that fit the longest
+    wins, then the first of the list, or of a DataFrame the one of the smallest verdict, then rule. A null url, or one
+    without `://`, has empty host and path, and if no rule fits is judged by the regression on empty strings. Every row is kept, repeated ones too; columns named as the new ones are replaced,
     others pass through; an empty table gives an empty table.
     """
     model = UrlModel(labelled if labelled is not None else labelled_urls())
@@ -127,9 +162,17 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str]], labelled: list[tuple
     host, path = host_and_path(F.col(url).cast("string"))
     out = df.withColumn("__lode_h", host).withColumn("__lode_p", path)
     out = out.withColumn("block_score", F.arrow_udf(score, "double")("__lode_h", "__lode_p"))
-    rule, verdict = matching_rule(F.col("__lode_h"), F.col("__lode_p"), rules)
-    judged = F.when((F.col("__lode_h") != "") & (F.col("block_score") >= threshold), "block").otherwise("allow")
-    out = out.withColumns({"rule": rule, "verdict": F.coalesce(verdict, judged), "host": F.col("__lode_h"), "path": F.col("__lode_p")})
+    if isinstance(rules, DataFrame):
+        rules = rules.select("verdict", "rule", F.when(F.col("verdict") == "allow", 0).otherwise(1).alias("place"))
+        out = joined_rules(out.drop("rule", "verdict"), "__lode_h", "__lode_p", rules)
+    elif len(rules) > in_plan:
+        listed = df.sparkSession.createDataFrame([(v, r, k) for k, (v, r) in enumerate(rules)], "verdict string, rule string, place long")
+        out = joined_rules(out.drop("rule", "verdict"), "__lode_h", "__lode_p", listed)
+    else:
+        rule, verdict = matching_rule(F.col("__lode_h"), F.col("__lode_p"), rules)
+        out = out.withColumns({"rule": rule, "verdict": verdict})
+    judged = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
+    out = out.withColumns({"verdict": F.coalesce("verdict", judged), "host": F.col("__lode_h"), "path": F.col("__lode_p")})
     return out.drop("__lode_h", "__lode_p")
 
 

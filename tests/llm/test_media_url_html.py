@@ -86,6 +86,34 @@ def test_hosts_paths_and_rules(spark):
     assert got[None].verdict == "allow" and url_filter.judge_urls(df.limit(0), []).count() == 0
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_many_rules_are_joined(spark, most, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "xa.com", "net", "q.net", "", "z.", "com"]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/es/y/z", "/es/"]
+    rules = [(rng.choice(("allow", "block")), rng.choice(hosts) + rng.choice(["", *paths])) for _ in range(60)]
+    rules += [("block", f"h{k}.org/p{k % 7}/") for k in range(3000)] + [rules[0], ("allow", rules[1][1])]
+    urls = [f"http://{h}{p}?q" for h in [*hosts, "www.net", "d.c.b.a.com", "h7.org", "w.h8.org"] for p in [*paths, "/p0/a", "/p1/"]] + [None, "x", "http://a.com/en/"]
+    df = spark.createDataFrame([(u, "mine") for u in urls], "url string, rule string")
+    monkeypatch.setattr(url_filter, "MOST_BROADCAST", most)
+    monkeypatch.setattr(url_filter.joined_rules, "__defaults__", (most,))
+    key = lambda r: (r.url or "", r.rule or "", r.verdict, r.host, r.path)
+    small = [r for r in rules if not r[1].startswith("h") or r[1].startswith(("h7.", "h8."))]
+    assert sorted(map(key, url_filter.judge_urls(df, rules).collect())) == sorted(map(key, url_filter.judge_urls(df, small, in_plan=10**6).collect()))
+    table = spark.createDataFrame([("block", "a.com/"), ("allow", "b.a.com/en"), ("allow", "a.com/")], "verdict string, rule string")
+    got = {r.url: (r.rule, r.verdict) for r in url_filter.judge_urls(df, table).collect()}
+    assert got["http://a.com/en?q"] == ("a.com/", "allow") and got["http://c.b.a.com/en/?q"] == ("b.a.com/en", "allow") and got[None][0] is None
+    assert url_filter.judge_urls(df.limit(0), table).count() == 0 and url_filter.judge_urls(df, table.limit(0)).count() == len(urls)
+
+
+def test_urls_without_a_host_get_the_methods_verdict(spark):
+    df = spark.createDataFrame([(None,), ("x",)], "url string")
+    bad = [("", "", 1)] * 50 + [("ok.org", "/a", 0)] * 50
+    assert {r.verdict for r in url_filter.judge_urls(df, [], bad).collect()} == {"block"}
+
+
 def brute_score(m, host, path):
     """The regression by plain integers, one n-gram at a time."""
     top = (1 << 64) - 1
