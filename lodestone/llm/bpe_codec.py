@@ -339,11 +339,13 @@ def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False, d
 
 
 def decode(df: DataFrame, file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the decoded text of a column of ids; null ids decode to null, no ids to an empty string."""
+    """Adds the decoded text of a column of ids; null ids decode to null, no ids to an empty string. As in the library,
+    an id that the vocabulary hasn't, a negative one among them, adds nothing, and neither does a null element. Every
+    row is kept; a column named as `out` is replaced."""
 
     def run(col: pa.Array) -> pa.Array:
-        c = codec(file)
-        return pa.array([None if x is None else c.decode(np.array(x, "<u4").tobytes()) for x in col.to_pylist()], pa.string())
+        known = codec(file).names
+        return pa.array([None if x is None else " ".join(known[k] for k in x if k in known) for x in col.to_pylist()], pa.string())
 
     return df.withColumn(out, F.arrow_udf(run, "string")(F.col(ids)))
 

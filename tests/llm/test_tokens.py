@@ -113,3 +113,17 @@ def test_queries(spark, sf):
         ids = t.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_decoding_of_unknown_and_null_ids(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+    from lodestone.llm import bpe_codec
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(file)
+    df = spark.createDataFrame([(1, [320, 60_000, 321]), (2, [320, None]), (3, [-1]), (4, []), (5, None), (6, [49407, 320])], "k int, ids array<int>")
+    got = {r.k: r.decoded for r in bpe_codec.decode(df, file).collect()}
+    assert got[1] == library.decode([320, 60_000, 321], skip_special_tokens=False) and got[6] == library.decode([49407, 320], skip_special_tokens=False)
+    assert got[2] == library.decode([320], skip_special_tokens=False) and got[3] == got[4] == "" and got[5] is None
