@@ -24,7 +24,9 @@ READS = {1: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 13: "I", 16: "Q
 
 
 class TiffError(ValueError):
-    """The bytes aren't a TIFF file that this reader can decode."""
+    """The bytes aren't a TIFF file, or not a page, that this reader can decode. whole: it isn't about one page."""
+
+    whole = False
 
 
 # -- PackBits
@@ -190,10 +192,11 @@ def _packed(block: np.ndarray, compression: int, predictor: int, level: int) ->
     return data
 
 
-def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: int = 0, rows: int = 128, order: str = "<", level: int = 6) -> bytes:
-    """A classic TIFF file of pages, each an array (height, width) or (height, width, samples) of uint8."""
-    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
-    link = 4
+def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: int = 0, rows: int = 128, order: str = "<", level: int = 6, big: bool = False) -> bytes:
+    """A TIFF file, classic or big, of pages, each an array (height, width) or (height, width, samples) of uint8."""
+    head = struct.pack(order + "HHHQ", 43, 8, 0, 0) if big else struct.pack(order + "HI", 42, 0)
+    out = bytearray((b"II" if order == "<" else b"MM") + head)
+    word, room, link = ("Q", 8, 8) if big else ("I", 4, 4)
     for page in pages:
         a = page[:, :, None] if page.ndim == 2 else page
         h, w, s = a.shape
@@ -218,17 +221,17 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
         packed = {}
         for tag, (kind, values) in sorted(entries.items()):
             raw = struct.pack(order + READS[kind] * len(values), *values)
-            if len(raw) > 4:
+            if len(raw) > room:
                 out += b"\0" * (len(out) % 2)
-                packed[tag] = struct.pack(order + "HHII", tag, kind, len(values), len(out))
+                packed[tag] = struct.pack(order + "HH" + 2 * word, tag, kind, len(values), len(out))
                 out += raw
             else:
-                packed[tag] = struct.pack(order + "HHI", tag, kind, len(values)) + raw.ljust(4, b"\0")
+                packed[tag] = struct.pack(order + "HH" + word, tag, kind, len(values)) + raw.ljust(room, b"\0")
         out += b"\0" * (len(out) % 2)
-        struct.pack_into(order + "I", out, link, len(out))
-        out += struct.pack(order + "H", len(packed)) + b"".join(packed.values())
+        struct.pack_into(order + word, out, link, len(out))
+        out += struct.pack(order + ("Q" if big else "H"), len(packed)) + b"".join(packed.values())
         link = len(out)
-        out += b"\0\0\0\0"
+        out += bytes(room)
     return bytes(out)
 
 
@@ -258,6 +261,8 @@ def _directories(data: bytes):
             (count,) = struct.unpack_from(order + ("Q" if big else "I"), data, at + 4)
             value, room = at + (12 if big else 8), 8 if big else 4
             if kind in READS:
+                if SIZES[kind] * count > len(data):
+                    raise TiffError("a tag has more values than the file has bytes")
                 if SIZES[kind] * count > room:
                     (value,) = struct.unpack_from(order + ("Q" if big else "I"), data, value)
                 tags[tag] = struct.unpack_from(order + READS[kind] * count, data, value)
@@ -268,7 +273,7 @@ def _directories(data: bytes):
 
 def _block(data: bytes, size: int, compression: int) -> bytes:
     if compression in (DEFLATE, 32946):
-        return zlib.decompress(data)[:size]
+        return zlib.decompressobj().decompress(data, size)
     if compression == LZW:
         return unlzw(data, size)
     if compression == PACKBITS:
@@ -282,15 +287,19 @@ def _page(data: bytes, order: str, tags: dict) -> dict:
     one = lambda tag, default=None: tags[tag][0] if tag in tags else default
     w, h, s = one(256), one(257), one(277, 1)
     bits, compression, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
-    if not w or not h or bits not in (8, 16) or predictor not in (1, 2) or len(set(tags.get(258, (8,)))) > 1:
+    if not w or not h or w < 0 or h < 0 or s < 1 or bits not in (8, 16) or predictor not in (1, 2) or len(set(tags.get(258, (8,)))) > 1:
         raise TiffError("only whole pages of equal 8- or 16-bit samples are supported")
     kind = np.dtype("u1" if bits == 8 else order + "u2")
     tiled = 322 in tags
     bw, bh = (one(322), one(323)) if tiled else (w, min(one(278, h), h))
+    if bw < 1 or bh < 1:
+        raise TiffError("strips or tiles have no size")
+    if max(w, bw) * max(h, bh) * s * kind.itemsize > MOST_SWELLING * len(data):
+        raise TiffError("a page is larger than what its file can hold")
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
     across, down = -(-w // bw), -(-h // bh)
     planes, deep = (s, 1) if planar == 2 else (1, s)
-    if len(offsets) < across * down * planes:
+    if min(len(offsets), len(sizes)) < across * down * planes or min(*offsets, *sizes) < 0:
         raise TiffError("strips or tiles are missing")
     out = np.zeros((h, w, s), kind.newbyteorder("=") if bits == 16 else kind)
     k = 0
@@ -310,23 +319,52 @@ def _page(data: bytes, order: str, tags: dict) -> dict:
     return {"width": w, "height": h, "samples": s, "bits": bits, "compression": NAMES.get(compression, "?"), "predictor": predictor, "layout": "tiles" if tiled else "strips", "pixels": out}
 
 
+#: No codec makes so many bytes of one.
+MOST_SWELLING = 4096
+
+
+def each_page(data: bytes):
+    """A page, or the TiffError that keeps it from being read, for each directory; after a broken directory, which
+    hides those behind it, one more error."""
+    found = _directories(data)
+    while True:
+        try:
+            order, tags = next(found)
+        except StopIteration:
+            return
+        except (TiffError, struct.error) as e:
+            broken = e if isinstance(e, TiffError) else TiffError(f"broken directory: {e}")
+            broken.whole = True
+            yield broken
+            return
+        try:
+            yield _page(data, order, tags)
+        except TiffError as e:
+            yield e
+        except (zlib.error, KeyError, IndexError, ValueError, OverflowError, MemoryError) as e:
+            yield TiffError(f"broken page: {type(e).__name__} {e}")
+
+
 def read_tiff(data: bytes) -> list[dict]:
-    """The pages of a file in the order of its directories; pixels are arrays (height, width, samples)."""
-    try:
-        return [_page(data, order, tags) for order, tags in _directories(data)]
-    except (struct.error, zlib.error, KeyError, IndexError) as e:
-        raise TiffError(f"broken file: {e}") from e
+    """The pages of a file in the order of its directories; pixels are arrays (height, width, samples). Raises
+    TiffError if any can't be read; each_page gives the others."""
+    pages = list(each_page(data))
+    for p in pages:
+        if isinstance(p, TiffError):
+            raise p
+    return pages
 
 
-PAGE = "array<struct<page int, width int, height int, samples int, bits int, compression string, predictor int, layout string, pixels binary>>"
+PAGE = "array<struct<page int, error string, width int, height int, samples int, bits int, compression string, predictor int, layout string, pixels binary>>"
 
 
 def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
     """One row per page of the TIFF file in each row: page (from 0), width, height, samples, bits, compression,
     predictor, layout, pixels (rows of samples, native byte order) and error.
 
-    Null content, an empty file and a file that can't be read give one row whose page is null and whose error says
-    why; rows are never dropped, repeated ones give their pages each. Other columns pass through; those named as the
+    A page that can't be read has its number and an error, and nulls besides; the others of its file are read. Null
+    content, an empty file, one without pages and the rest of a file behind a broken directory give one row whose page
+    is null and whose error says why; rows are never dropped, repeated ones give their pages each. Other columns pass through; those named as the
     new ones are replaced.
     """
 
@@ -334,21 +372,20 @@ def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
         rows = []
         for x in col:
             data = x.as_py()
-            try:
-                if data is None:
-                    raise TiffError("null")
-                pages = [p | {"page": k, "pixels": p["pixels"].tobytes()} for k, p in enumerate(read_tiff(data))]
-                rows.append({"pages": pages, "error": None if pages else "no page"})
-            except TiffError as e:
-                rows.append({"pages": [], "error": str(e)})
-        fields = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("layout", pa.string()), ("pixels", pa.binary())]
-        return pa.array(rows, pa.struct([("pages", pa.list_(pa.struct(fields))), ("error", pa.string())]))
-
-    at, names = "__lode_tiff", ["page", "width", "height", "samples", "bits", "compression", "predictor", "layout", "pixels"]
-    read = F.arrow_udf(run, f"pages {PAGE}, error string")(F.col(content))
-    kept = [c for c in df.columns if c not in {*names, "error"}]
-    rows = df.withColumn(at, read).select(*kept, F.col(f"{at}.error").alias("error"), F.explode_outer(f"{at}.pages").alias(at))
-    return rows.select(*kept, *(F.col(f"{at}.{n}").alias(n) for n in names), "error")
+            pages = []
+            for k, p in enumerate(() if data is None else each_page(data)):
+                if not isinstance(p, TiffError):
+                    pages.append(p | {"page": k, "pixels": p["pixels"].tobytes()})
+                else:
+                    pages.append({"page": None if p.whole else k, "error": str(p)})
+            rows.append(pages or [{"error": "null" if data is None else "no page"}])
+        fields = [("page", pa.int32()), ("error", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("layout", pa.string()), ("pixels", pa.binary())]
+        return pa.array(rows, pa.list_(pa.struct(fields)))
+
+    at, names = "__lode_tiff", ["page", "width", "height", "samples", "bits", "compression", "predictor", "layout", "pixels", "error"]
+    kept = [c for c in df.columns if c not in names]
+    rows = df.withColumn(at, F.arrow_udf(run, PAGE)(F.col(content))).select(*kept, F.explode(at).alias(at))
+    return rows.select(*kept, *(F.col(f"{at}.{n}").alias(n) for n in names))
 
 
 # -- texts as media
@@ -356,13 +393,13 @@ def tiff_pages(df: DataFrame, content: str = "content") -> DataFrame:
 WIDTH = 64
 #: Rows of samples in a page; longer payloads have several pages.
 PAGE_ROWS = 16_384
-#: How a payload is stored follows from its own hash, so that equal texts are stored alike; of 16 parts.
-FORMS = (
-    [{"compression": DEFLATE, "predictor": 2}] * 6
-    + [{"compression": DEFLATE, "tile": 64}] * 6
-    + [{"compression": PACKBITS}, {"compression": PACKBITS, "tile": 64, "order": ">"}]
-    + [{"compression": LZW, "predictor": 2}, {"compression": DEFLATE, "predictor": 2, "order": ">"}]
-)
+#: How a payload is stored follows from its own hash, so that equal texts are stored alike: each codec as often as the
+#: others, in strips and tiles, with and without prediction, in either byte order, classic and big.
+FORMS = [
+    {"compression": compression, "tile": 64 * (k % 2), "predictor": 1 + k // 2 % 2, "order": "<>"[(k + j) % 2], "big": k == 3}
+    for j, compression in enumerate((NONE, PACKBITS, LZW, DEFLATE))
+    for k in range(4)
+]
 
 
 def payload_of(text: str | None) -> bytes:

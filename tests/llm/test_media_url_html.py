@@ -35,8 +35,9 @@ def test_files_round_trip(predictor, tile, order):
     rng = np.random.default_rng(1)
     pages = [rng.integers(0, 9, (70, 50), dtype=np.uint8), rng.integers(0, 255, (33, 17, 3), dtype=np.uint8)]
     for compression in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
-        got = tiff.read_tiff(tiff.write_tiff(pages, compression, predictor, tile, 16, order))
-        assert (got[0]["pixels"][:, :, 0] == pages[0]).all() and (got[1]["pixels"] == pages[1]).all() and len(got) == 2
+        for big in (False, True):
+            got = tiff.read_tiff(tiff.write_tiff(pages, compression, predictor, tile, 16, order, big=big))
+            assert (got[0]["pixels"][:, :, 0] == pages[0]).all() and (got[1]["pixels"] == pages[1]).all() and len(got) == 2
 
 
 def test_pages_of_a_frame(spark):
@@ -46,11 +47,46 @@ def test_pages_of_a_frame(spark):
     rows = [(1, good, "p"), (1, good, "p"), (2, None, "q"), (3, b"", "r"), (4, good[:40], "s"), (5, bytes(loop), "t"), (6, b"II*\0\0\0\0\0", "u")]
     df = spark.createDataFrame(rows, "id int, content binary, page string")
     got = tiff.tiff_pages(df).collect()
-    assert sorted((r.id, -1 if r.page is None else r.page) for r in got) == [(1, 0), (1, 0), (1, 1), (1, 1), (2, -1), (3, -1), (4, -1), (5, -1), (6, -1)]
-    assert all((r.error is None) == (r.id == 1) for r in got) and tiff.tiff_pages(df.limit(0)).count() == 0
+    assert sorted((r.id, -1 if r.page is None else r.page) for r in got) == [(1, 0), (1, 0), (1, 1), (1, 1), (2, -1), (3, -1), (4, -1), (5, -1), (5, 0), (6, -1)]
+    assert all((r.error is None) == (r.page is not None) for r in got) and tiff.tiff_pages(df.limit(0)).count() == 0
     assert {bytes(r.pixels) for r in got if r.id == 1} == {b"\0" * 32, b"\1" * 6}
 
 
+def test_a_bad_page_costs_no_other(spark):
+    pages = [np.full((4, 8), k, np.uint8) for k in range(3)]
+    file = tiff.write_tiff(pages, tiff.NONE)
+
+    def entry(page, tag):
+        """Where the value of a tag of a page's directory lies."""
+        at = int.from_bytes(file[4:8], "little")
+        for _ in range(page):
+            at = int.from_bytes(file[at + 2 + 12 * int.from_bytes(file[at : at + 2], "little") :][:4], "little")
+        for k in range(int.from_bytes(file[at : at + 2], "little")):
+            if int.from_bytes(file[at + 2 + 12 * k :][:2], "little") == tag:
+                return at + 2 + 12 * k + 8
+        raise KeyError(tag)
+
+    def changed(tag, value, page=1):
+        out, at = bytearray(file), entry(page, tag)
+        out[at : at + 4] = value.to_bytes(4, "little")
+        return bytes(out)
+
+    broken = [changed(259, 7), changed(278, 0), changed(257, 2**32 - 1), changed(273, 2**31), changed(256, 0), changed(258, 1), changed(317, 3), changed(279, 3)]
+    broken.append(bytes(bytearray(file[: entry(1, 273) - 4]) + (2**32 - 1).to_bytes(4, "little") + file[entry(1, 273) :]))
+    tiled = tiff.write_tiff(pages, tiff.DEFLATE, tile=16)
+    rows = [(k, b) for k, b in enumerate(broken)] + [(50, tiled)]
+    got = tiff.tiff_pages(spark.createDataFrame(rows, "id int, content binary")).collect()
+    for k in range(len(broken) - 1):
+        mine = sorted((r for r in got if r.id == k), key=lambda r: r.page)
+        assert [(r.page, r.error is None, r.pixels is None) for r in mine] == [(0, True, False), (1, False, True), (2, True, False)], k
+    last = [(r.page, r.error is None) for r in got if r.id == len(broken) - 1]
+    assert last == [(0, True), (None, False)]
+    assert sum(r.id == 50 and r.error is None for r in got) == 3
+    with pytest.raises(tiff.TiffError):
+        tiff.read_tiff(broken[0])
+    assert len(tiff._block(zlib.compress(bytes(10**8)), 1000, tiff.DEFLATE)) == 1000
+
+
 def test_media_query(spark, sf):
     docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     forms = set()
@@ -60,7 +96,7 @@ def test_media_query(spark, sf):
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(raw), len(p), zlib.crc32(p[-64:]))
         assert r.payload_sha256 == hashlib.sha256(p).hexdigest()
         forms.add(r.feature.split()[0])
-    assert len(forms) >= 4
+    assert len(forms) == 16 and {f.split("/")[0] for f in forms} == {"none", "packbits", "lzw", "deflate"}
     df = spark.createDataFrame([(1, None), (2, ""), (3, "é" * 700_000)], "doc_id int, text string")
     a, b, c = sorted(tiff.media_digest(df).collect())
     assert a[2:] == b[2:] and a.payload_bytes == 64 and c.payload_bytes == -(-1_400_000 // 64) * 64 and "pages=2" in c.feature
