@@ -83,8 +83,17 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 2e-4, steps: int = 150) -
     return w if n else np.zeros(x.shape[1] + 1)
 
 
+#: What is asked of a text's nearness to its language, of what was least among the learned; how many make a rule.
+SLACK, LEAST = 0.8, 20
+
+
+def _length_class(sizes: np.ndarray) -> np.ndarray:
+    return np.minimum(63, np.log2(np.maximum(1, sizes)).astype(int))
+
+
 class LanguageModel:
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: np.ndarray | None = None):
+        """sizes: bytes of each text; without them every text fits its language."""
         self.langs = sorted(set(langs))
         self.family_of = {l: FAMILIES.get(l, f"({l})") for l in self.langs}
         self.families = sorted(set(self.family_of.values()))
@@ -102,15 +111,39 @@ class LanguageModel:
                     some = (lang == a) | (lang == b)
                     cols.append(svm(x[some], np.where(lang[some] == a, 1.0, -1.0)))
                     self.pairs.append((a, b))
+        self._learn_fits(x, lang, sizes)
         w = np.array(cols).reshape(len(cols), -1) if cols else np.zeros((0, x.shape[1] + 1))
         self.w, self.b = w[:, :-1].T.astype(np.float32), w[:, -1]
 
+    def _learn_fits(self, x: np.ndarray, lang: np.ndarray, sizes: np.ndarray | None) -> None:
+        """How near a language's middle its texts are, by their length: the least near of those as long or longer, less
+        SLACK. Of lengths under which fewer than LEAST texts were seen nothing is asked."""
+        self.middle = np.zeros((len(self.langs), x.shape[1]), np.float32)
+        self.near = np.zeros((len(self.langs), 64))
+        for k, l in enumerate(self.langs if sizes is not None else ()):
+            own = x[lang == l]
+            total = own.sum(axis=0)
+            self.middle[k] = total / max(1e-9, float(np.linalg.norm(total)))
+            # a text's own share of the middle is taken out
+            rest = total - own
+            near = np.einsum("ij,ij->i", own, rest) / np.maximum(1e-9, np.linalg.norm(rest, axis=1))
+            size = _length_class(sizes[lang == l])
+            for c in range(64):
+                longer = near[size >= c]
+                if (size <= c).sum() >= LEAST:
+                    self.near[k, c] = SLACK * longer.min() if len(longer) else self.near[k, c - 1]
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Languages, `und` where nothing is known, and scores: the steeper of what family and language margins say."""
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, `und` where nothing is known; scores: the steeper of what family and language margins say; and
+        how near each text is to the middle of its language, as a multiple of what is asked, 1 where nothing is."""
         n = len(texts)
         if not self.langs:
-            return [UNKNOWN] * n, np.zeros(n)
-        z = vectors(texts) @ self.w + self.b
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+        x = vectors(texts)
+        z = x @ self.w + self.b
         nf = len(self.families) if len(self.families) > 1 else 0
         if nf:
             best = z[:, :nf].argmax(1)
@@ -131,10 +164,12 @@ class LanguageModel:
         least = np.minimum(margin, low[np.arange(n), won])
         score = 1 / (1 + np.exp(-4 * least))
         out = [self.langs[k] for k in won]
+        asked = self.near[won, _length_class(np.array([len(t.encode("utf-8", "replace")) for t in texts], int))]
+        fit = np.where(asked > 0, np.einsum("ij,ij->i", x, self.middle[won]) / np.maximum(asked, 1e-9), 1.0)
         for k, t in enumerate(texts):
             if not has_letter(t):
-                out[k], score[k] = UNKNOWN, 0.0
-        return out, score
+                out[k], score[k], fit[k] = UNKNOWN, 0.0, 0.0
+        return out, score, fit
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", learn: Column | None = None, per_language: int = 600, most_rows: int = 6000) -> LanguageModel:
@@ -149,32 +184,35 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
         return pa.array([v.tobytes() for texts in text_lists(col, rows=256) for v in vectors(texts)], pa.binary())
 
     few = rows.join(F.broadcast(ids), "k").filter(F.col("t").rlike(r"\p{L}"))  # at most most_rows keys
-    found = few.select("l", F.arrow_udf(made, "binary")("t").alias("v")).orderBy("l", F.xxhash64("v")).limit(2 * most_rows).collect()
+    found = few.select("l", F.octet_length("t").alias("n"), F.arrow_udf(made, "binary")("t").alias("v")).orderBy("l", F.xxhash64("v"), "n").limit(2 * most_rows).collect()
     x = np.frombuffer(b"".join(r.v for r in found), np.float32).reshape(-1, DIM)
-    return LanguageModel(x, [r.l for r in found])
+    return LanguageModel(x, [r.l for r in found], np.array([r.n for r in found], int))
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """Adds the predicted language of each whole text and a score of 0 to 1.
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", out: str = "lang_pred", score: str = "lang_score", fit: str | None = None) -> DataFrame:
+    """Adds the predicted language of each whole text and a score of 0 to 1; with `fit` also how near the text is to
+    the middle of that language, as a multiple of what its length lets expect: well under 1, it is in none learned.
 
-    Null texts and texts without a letter, empty ones among them, are `und` with score 0, as is everything if nothing
-    was learned. Equal texts get equal answers; every row is kept. Columns named as the new ones are replaced, others
+    Null texts and texts without a letter, empty ones among them, are `und` with score and fit 0, as is everything if
+    nothing was learned. Equal texts get equal answers; every row is kept. Columns named as the new ones are replaced, others
     pass through and are never looked at. An empty table gives an empty table.
     """
     modest_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(col: pa.Array) -> pa.Array:
-        langs, scores = [], []
+        langs, scores, fits = [], [], []
         for texts in text_lists(col, rows=256):
-            l, s = shared.value.predict(texts)
+            l, s, f = shared.value.judge(texts)
             langs += l
             scores += s.tolist()
+            fits += f.tolist()
         release()
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["l", "s"])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.float64())], ["l", "s", "f"])
 
     at = "__lode_lang"
-    return df.withColumn(at, F.arrow_udf(run, "l string, s double")(F.col(text).cast("string"))).withColumns({out: F.col(f"{at}.l"), score: F.col(f"{at}.s")}).drop(at)
+    new = {out: F.col(f"{at}.l"), score: F.col(f"{at}.s")} | ({fit: F.col(f"{at}.f")} if fit else {})
+    return df.withColumn(at, F.arrow_udf(run, "l string, s double, f double")(F.col(text).cast("string"))).withColumns(new).drop(at)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -54,6 +54,60 @@ def test_languages(spark, sf):
     assert alone.predict(["le et"])[0] == ["en"]
 
 
+def plain_language(m, text):
+    """Language and score of a text in plain Python: n-grams one at a time, machine by machine."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    raw, counts = (" " + text.lower() + " ").encode(), {}
+    for n in language_id.SIZES:
+        for k in range(len(raw) - n + 1):
+            h = int.from_bytes(raw[k : k + n], "big") * (0x9E3779B1 + 2 * n) % 2**32 >> 32 - language_id.BITS
+            counts[h] = counts.get(h, 0) + 1
+    length = sum(counts.values()) ** 0.5
+    z = [sum(c**0.5 / length * float(m.w[h, j]) for h, c in counts.items()) + m.b[j] for j in range(m.w.shape[1])]
+    ranked = sorted(z[: len(m.families)], reverse=True)
+    family = m.families[z.index(ranked[0])]
+    own = [l for l in m.langs if m.family_of[l] == family]
+    votes, low = dict.fromkeys(own, 0.0), dict.fromkeys(own, 9.0)
+    for (a, b), s in zip(m.pairs, z[len(m.families) :]):
+        for l, v in ((a, s), (b, -s)):
+            if l in votes:
+                votes[l] += (v > 0) + 0.01 * np.tanh(v)
+                low[l] = min(low[l], v)
+    best = max(own, key=lambda l: votes[l])
+    return best, 1 / (1 + np.exp(-4 * min((ranked[0] - ranked[1]) / 2, low[best])))
+
+
+def test_language_against_plain_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    m = language_id.fit(docs, learn=fold("doc_id", 4) != 2)
+    assert len(m.families) == 2 and len(m.pairs) == 2
+    got = {r.doc_id: r for r in language_id.op6(spark, sf).collect()}
+    rows = docs.filter("text IS NOT NULL").collect()
+    assert len(got) == docs.count()
+    for r in rows:
+        if len(r.text) < 3000:
+            lang, score = plain_language(m, r.text)
+            assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-4
+
+
+def test_texts_in_other_languages_do_not_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    m = language_id.fit(docs, learn=fold("doc_id", 4) != 2)
+    held = language_id.identify(docs.filter(fold("doc_id", 4) == 2), m, fit="fit")
+    n, low = held.count(), held.filter(f"fit < {corpus_pipeline.LEAST_FIT}").count()
+    assert n > 2000 and low <= 0.001 * n
+    other = [
+        "Это предложение на русском языке, которое никто не учил. И ещё одно предложение, чтобы было длиннее. ", "这是一个中文句子，没有人学过它。",
+        "यह एक हिंदी वाक्य है जिसे कोई नहीं जानता और यहाँ एक और वाक्य है ", "To jest polskie zdanie, którego nikt nie zna, a tutaj jest jeszcze jedno zdanie w tym samym języku. ",
+        "Tämä on suomenkielinen lause jota kukaan ei tunne, ja tässä on vielä toinen lause samaa kieltä varten. ", "bu bir türkçe cümledir ve kimse bilmiyor, burada aynı dilde bir cümle daha var ",
+    ]
+    planted = spark.createDataFrame([(10**7 + k, t * 8, None, "src1", 1) for k, t in enumerate(other)], "doc_id long, text string, lang string, source string, n_chars long")
+    whole = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    kept = corpus_pipeline.language(spark, whole.unionByName(planted), "/root/testdata/sf0.1")
+    assert kept.filter("doc_id >= 10000000").count() <= 1 and kept.count() >= 0.999 * whole.count()
+
+
 def test_language_query_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").withColumn("h", fold("doc_id", 4) == 2).collect()}
@@ -193,4 +247,24 @@ def test_pipeline_stages_against_their_operators(spark):
     assert mixed.columns == docs.columns and mixed.count() > 0
     ids = corpus_pipeline.encoding(spark, mixed, sf)
     assert ids.count() == mixed.count() and ids.filter("size(ids) <> n_tokens").count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_dedup", "mixing", "encoding"]
+
+
+def test_the_whole_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    """run() against its stages one by one, with null and empty texts, nulls in every column and repeated rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    odd = spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", None, "src1", 0), (None, "the of and in the house of", None, None, None), (10**6 + 2, "x " * 50_000, "en", None, 1)] + [(10**6 + 3, "of the and in with " * 9, "en", "src1", 5)] * 2, docs.schema)
+    for name, table in (("whole", docs.unionByName(odd)), ("empty", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        (labels if name == "whole" else labels.limit(0)).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/whole")
+    want = spark.read.parquet(f"{tmp_path}/whole/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        want = stage(spark, want, f"{tmp_path}/whole")
+    key = lambda r: (r.doc_id or 0, r.n_tokens, r.decoded_sha256)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 50
+    assert got.filter("doc_id IN (1000000, 1000001)").count() == 0
