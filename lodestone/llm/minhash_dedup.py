@@ -251,16 +251,21 @@ def near_duplicates(
     Null texts link with nothing. Empty texts, and texts without a word, are copies of their equals alone. Keys are
     integers; a row with a null key links with nothing, has no class and isn't kept; rows that repeat a key are
     copies or links of each other as any rows are, and `kept` holds for all rows of the class's key. Further columns
-    are ignored. An empty table gives an empty table. Texts are told apart by 64-bit hashes: of 10^9 different texts,
-    one pair in 37 such tables would be taken for equal.
+    are ignored. An empty table gives an empty table. Texts are told apart by 128 bits of hashes. A pair of similarity s
+    is found by its signatures with probability 1 - (1 - s^rows)^bands, and by what links the two to others besides.
     """
     modest_batches(df)
     m = bands * rows
     own = df.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    own = own.withColumn("node", F.when(F.col("id").isNotNull(), text_hash(F.col("t"))))
+    own = own.withColumn("node", F.when(F.col("id").isNotNull(), text_hash(F.col("t")))).withColumn("other", F.xxhash64("t", F.lit(10)))
     sketch = F.arrow_udf(_sketch(bands, rows, shingle), "keys array<long>, print binary")
     # One pass over the texts; what follows works on sketches.
-    table = written(own.withColumn("s", sketch(F.coalesce("t", F.lit("")))).select("id", "node", "s.keys", "s.print"), "sketches")
+    table = written(own.withColumn("s", sketch(F.coalesce("t", F.lit("")))).select("id", "node", "other", F.col("node").alias("hash"), "s.keys", "s.print"), "sketches")
+    # Different texts of one hash, if there are any, are named by their second hash.
+    met = table.filter("node IS NOT NULL").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).filter("a <> b").select("node")
+    met = cut(met)
+    if met.limit(1).count():
+        own, table = _renamed(own, met), written(_renamed(table, met), "sketches")
     known = table.filter("node IS NOT NULL")
     classes = known.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     one = known.select("node", "keys", "print").dropDuplicates(["node"])
@@ -271,7 +276,7 @@ def near_duplicates(
     buckets = written(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).filter("n > 1"), "buckets")
     twos = buckets.filter("n = 2").select("a", "b").distinct()
     twos = twos.join(prints.select(F.col("node").alias("a"), F.col("print").alias("pa")), "a").join(prints.select(F.col("node").alias("b"), F.col("print").alias("pb")), "b")
-    least = max(0.0, threshold - 4 * math.sqrt(threshold * (1 - threshold) / m))
+    least = max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / m))
     pairs = twos.mapInArrow(lambda batches: _two(batches, m, least), "node long, root long")
     more = spread.join(buckets.filter("n > 2").select("key"), "key", "left_semi").join(prints, "node")
     tiles = by_tile(tiled(more, ["key"], bucket_block, "node"), ["key"], _bucket(m, least), "node long, root long")
@@ -298,7 +303,7 @@ def near_duplicates(
     found = near.select("node", "rep").join(found, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = found.groupBy("root").agg(F.min("rep").alias("first"))
     found = classes.join(found.join(firsts, "root").select("node", "links", "texts", "first"), "node", "left")
-    out = table.select("id", "node").join(found, "node", "left")
+    out = table.select("id", "node", "hash").join(found, "node", "left")
     first = F.coalesce("first", "rep", "id")
     return out.select(
         F.col("id").alias(key),
@@ -307,10 +312,15 @@ def near_duplicates(
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"),
         first.alias("class_id"),
         F.coalesce(F.col("id") == first, F.lit(False)).alias("kept"),
-        F.col("node").alias("text_hash"),
+        F.col("hash").alias("text_hash"),
     )
 
 
+def _renamed(rows: DataFrame, met: DataFrame) -> DataFrame:
+    again = rows.join(met.withColumn("__lode_met", F.lit(True)), "node", "left")
+    return again.withColumn("node", F.when(F.col("__lode_met"), F.xxhash64("node", "other", F.lit(11))).otherwise(F.col("node"))).drop("__lode_met")
+
+
 def text_hash(text: Column) -> Column:
     """The hash by which texts are told apart; null for null."""
     return F.when(text.isNotNull(), F.xxhash64(text.cast("string"), F.lit(9)))

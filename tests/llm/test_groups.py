@@ -164,6 +164,38 @@ def test_repeated_rows_and_keys(spark):
     assert got == [(0, 1, 0, 0, False), (1, 1, 1, 1, True), (1, 2, 1, 1, True), (1, 2, 1, 1, True), (2, 1, 1, 1, False)]
 
 
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a first hash of two values only, results are those of brute force still."""
+    from pyspark.sql import functions as F
+
+    rows = [r for r in copies() if r[1] is None or len(r[1]) < 3000]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash_dedup, "text_hash", lambda c: F.when(c.isNotNull(), F.length(c) % 2))
+    got = {r.doc_id: (r.n_links, r.n_texts, r.class_id, r.kept) for r in minhash_dedup.near_duplicates(df).collect()}
+    assert got == brute_texts(rows)
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of overlaps from 0.4 to 0.6 that nothing else links: how many of them are found."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(50_000)]
+    rows, want = [], collections.defaultdict(list)
+    while len(rows) < 1600:
+        base = [rng.choice(words) for _ in range(rng.randint(80, 300))]
+        at = rng.choice((0.06, 0.08, 0.1, 0.12, 0.14))
+        other = [w if rng.random() > at else rng.choice(words) for w in base]
+        s, t = " ".join(base), " ".join(other)
+        j = jaccard(s, t)
+        if 0.4 <= j < 0.6:
+            want["0.4-0.45" if j < 0.45 else "0.45-0.5" if j < 0.5 else "0.5-0.6"].append(len(rows))
+            rows += [(len(rows), s), (len(rows) + 1, t)]
+    got = {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {b: sum(got[k + 1] == k for k in ks) / len(ks) for b, ks in sorted(want.items())}
+    print("recall", recall, {b: len(ks) for b, ks in sorted(want.items())})
+    assert min(recall.values()) >= 0.9 and all(len(ks) > 80 for ks in want.values())
+    assert sum(got[k] != k - k % 2 for k in got) == sum(got[k + 1] != k for ks in want.values() for k in ks)  # no others
+
+
 def test_text_query_on_real_documents(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_links, r.n_texts, r.class_id, r.kept) for r in minhash_dedup.op9(spark, sf).collect()}
