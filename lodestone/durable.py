@@ -12,8 +12,10 @@ _own: list[str] = []
 
 def folder(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is
-    unset, as in tests on one machine."""
+    unset and Spark runs on this machine alone, as in tests; on a cluster that is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not named and not _own:
         _own.append(tempfile.mkdtemp(prefix="lodestone-"))
     return f"{named or _own[0]}/{what}-{uuid.uuid4().hex}"

@@ -44,13 +44,15 @@ class HashedEncoder:
         dim, normalise = self.dim, self.normalise
 
         def run(hashes: pa.Array) -> pa.Array:
-            out = []
-            for row in hashes:
-                h = np.array(row.as_py() or [], dtype=np.int64)
-                x = np.bincount(h % dim, np.where(h >> 32 & 1, 1.0, -1.0), dim) if len(h) else np.zeros(dim)
-                n = np.linalg.norm(x)
-                out.append((x / n if normalise else x).astype(np.float32) if n else None)
-            return pa.array(out, pa.list_(pa.float32()))
+            n = len(hashes)
+            sizes = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            h, row = hashes.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(n), sizes)
+            x = np.bincount(row * dim + h % dim, np.where(h >> 32 & 1, 1.0, -1.0), n * dim).reshape(n, dim)
+            length = np.linalg.norm(x, axis=1)
+            x = (x / np.maximum(length, 1e-300)[:, None] if normalise else x).astype(np.float32)
+            values = pa.array(x[length > 0].reshape(-1))
+            offsets = np.concatenate([[0], np.cumsum(np.where(length > 0, dim, 0))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(length == 0))
 
         tokens = F.transform(t.bm25_tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(1 << 40)))
         return F.arrow_udf(run, "array<float>")(tokens)

@@ -52,17 +52,43 @@ def footer(hits: DataFrame, query: str = "query_id", doc: str = "document_name")
     return hits.groupBy(query).agg(names.alias("n")).select(query, F.when(F.size("n") > 0, F.concat(F.lit("Based on: "), F.array_join("n", ", "))).alias("footer"))
 
 
-PROMPT = "You answer questions about documents.\nAnswer as: {kind}.\n\nContext:\n{context}\n\nQuestion: {query}\nAnswer in JSON."
-PROMPTS = {"procedure": "numbered steps", "eligibility": "conditions and exceptions", "definition": "a definition", "form_details": "the sections and fields of a form", "person_lookup": "a profile", "policy_lookup": "the rules of a policy", "document_overview": "an overview of a document", "general": "short paragraphs"}
+#: What every prompt asks for, and what each kind of question asks for besides; {name} stands for a slot.
+SCHEMA = (
+    'Reply with one JSON object and nothing else: {"intent": text, "title": text, "subtitle": text, "sections": [{"heading": text, "type": one of '
+    'paragraph, bullets, steps, table, alert, "content": text, "items": [text], "headers": [text], "rows": [[text]], "severity": one of info, warning, '
+    'important}], "footer": text, "confidence": one of high, medium, low, "fallback": text or null}.'
+)
+RULES = [
+    "Use only what the context says; where it says nothing about the question, set fallback to a sentence that says so and leave sections empty.",
+    "Keep names, numbers, codes of forms, dates and amounts exactly as they are written.",
+    "Name the documents that you used in the footer.", "Set confidence to low where the context answers a part of the question only.",
+]
+TEMPLATES = {
+    "general": ["Answer in short paragraphs, one idea each.", "Put three or more facts of a kind into bullets."],
+    "procedure": ["Give the steps in the order in which they are taken, as a section of type steps.", "Say who acts, what form or document is needed, where it goes and by when.", "Put deadlines and approvals that are easily missed into an alert."],
+    "eligibility": ["Say first who is eligible.", "List the conditions as bullets, with the years, grades or limits that are named.", "Give exceptions and what is excluded a section of their own, as an alert."],
+    "definition": ["Define the term in one paragraph, in the document's words.", "Add where it applies and what it is told apart from, if the context says so."],
+    "form_details": ["Name the form with its code and purpose.", "List its sections and the fields of each as bullets.", "Say who signs it and what is attached."],
+    "person_lookup": ["Give the person's name, title and department first.", "Then qualifications, experience, research interests, publications and awards, a section each, those that are there.", "Never mix what belongs to different people."],
+    "topic_search": ["Give a section for each person or document that deals with the topic, the closest first.", "Say in one line what links each to the topic."],
+    "document_overview": ["Say what the document is for and whom it applies to.", "Then list its main sections, with a line on each."],
+}
+#: Kinds of questions that share a template.
+SAME = {"lookup": "person_lookup", "policy_lookup": "eligibility", "form_lookup": "form_details"}
+
+
+def instructions(kind: str) -> str:
+    """All of a prompt that stands before its context."""
+    own = TEMPLATES[SAME.get(kind, kind)]
+    return "\n".join(["You answer questions about an institution's documents.", *(f"- {x}" for x in [*own, *RULES]), SCHEMA])
 
 
 def prompt(intent: Column, context: Column, query: Column) -> Column:
-    """The template of the intent, the general one for others."""
-    kind = F.lit(PROMPTS["general"])
-    for k, x in PROMPTS.items():
-        kind = F.when(intent == k, x).otherwise(kind)
-    a, b, c, d = PROMPT.replace("{kind}", "\0").replace("{context}", "\0").replace("{query}", "\0").split("\0")
-    return F.concat(F.lit(a), kind, F.lit(b), context, F.lit(c), query, F.lit(d))
+    """The template of the intent, in upper or lower case, the general one for others."""
+    low, text = F.lower(intent), F.lit(instructions("general"))
+    for kind in [*TEMPLATES, *SAME]:
+        text = F.when(low == kind, instructions(kind)).otherwise(text)
+    return F.concat(text, F.lit("\n\nContext:\n"), context, F.lit("\n\nQuestion: "), query, F.lit("\nAnswer in JSON."))
 
 
 def answer_sentences(sections: Column) -> Column:

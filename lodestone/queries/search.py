@@ -41,12 +41,13 @@ def sparse(spark, d, k=40):
 
 
 INDEX_SQL = f"""
-tok AS (SELECT doc_id, unnest({bm25_sql('text')}) AS tok FROM documents WHERE text IS NOT NULL AND trim(text) <> ''),
-post AS (SELECT tok, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
+tok AS MATERIALIZED (SELECT doc_id, unnest({bm25_sql('text')}) AS tok FROM documents WHERE text IS NOT NULL AND trim(text) <> ''),
+post AS MATERIALIZED (SELECT tok, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
 len AS (SELECT d.doc_id, len({bm25_sql('text')}) AS dl FROM documents d WHERE text IS NOT NULL AND trim(text) <> ''),
-st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
-raw AS (SELECT tok, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY tok),
-lex AS (SELECT tok, df, CASE WHEN raw < 0 THEN (SELECT avg(raw) FROM raw) * 0.25 ELSE raw END AS idf FROM raw)"""
+st AS MATERIALIZED (SELECT count(*) AS n, avg(dl) AS avgdl FROM len),
+raw AS MATERIALIZED (SELECT tok, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY tok),
+mean AS MATERIALIZED (SELECT avg(raw) AS mean_idf FROM raw),
+lex AS MATERIALIZED (SELECT tok, df, CASE WHEN raw < 0 THEN mean_idf * 0.25 ELSE raw END AS idf FROM raw, mean)"""
 
 
 def bm25_hits(q: str, k: int) -> str:
@@ -78,7 +79,7 @@ def bm25_lexicon(spark, d):
     return r.build_index(chunks(spark, d))["lexicon"].select("tok", "df", F.round("idf", 9).alias("idf"))
 
 
-@query("bm25_stats", f"WITH {INDEX_SQL} SELECT n, round(avgdl, 6) AS avgdl, (SELECT round(avg(raw), 9) FROM raw) AS mean_idf FROM st")
+@query("bm25_stats", f"WITH {INDEX_SQL} SELECT n, round(avgdl, 6) AS avgdl, round(mean_idf, 9) AS mean_idf FROM st, mean")
 def bm25_stats(spark, d):
     return r.build_index(chunks(spark, d))["stats"].select("n", F.round("avgdl", 6).alias("avgdl"), F.round("mean_idf", 9).alias("mean_idf"))
 
@@ -202,11 +203,14 @@ def footer(spark, d):
     return g.footer(chosen(spark, d).withColumn("document_name", F.concat("document_name", F.lit("_x.pdf"))))
 
 
-@query("prompt", BUDGET_SQL + " SELECT query_id, count(*) AS n, CASE any_value(intent) " + " ".join(f"WHEN {s(k)} THEN {s(x)}" for k, x in g.PROMPTS.items()) + f" ELSE {s(g.PROMPTS['general'])} END AS kind FROM chosen GROUP BY query_id")
+CONTEXT_SQL = "string_agg('Source: ' || coalesce(document_name, 'Unknown Document') || CASE WHEN coalesce(section_title, '') <> '' THEN ' — ' || section_title ELSE '' END || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)"
+_HEAD_SQL = "CASE any_value(lower(intent)) " + " ".join(f"WHEN {s(k)} THEN {s(g.instructions(k))}" for k in [*g.TEMPLATES, *g.SAME]) + f" ELSE {s(g.instructions('general'))} END"
+
+
+@query("prompt", BUDGET_SQL + f" SELECT query_id, md5({_HEAD_SQL} || {s(chr(10) * 2 + 'Context:' + chr(10))} || {CONTEXT_SQL} || {s(chr(10) * 2 + 'Question: ')} || any_value(query) || {s(chr(10) + 'Answer in JSON.')}) AS prompt_md5 FROM chosen GROUP BY query_id")
 def prompt(spark, d):
-    c = g.build_context(chosen(spark, d)).join(asked(spark, d), "query_id").withColumn("prompt", g.prompt(F.col("intent"), F.col("context"), F.col("query")))
-    n = F.regexp_count("prompt", F.lit("\n\n---\n\n")) + 1
-    return c.select("query_id", n.cast("long").alias("n"), F.regexp_extract("prompt", r"Answer as: ([^\n]*)\.\n", 1).alias("kind"))
+    c = g.build_context(chosen(spark, d)).join(asked(spark, d), "query_id")
+    return c.select("query_id", F.md5(g.prompt(F.upper("intent"), F.col("context"), F.col("query"))).alias("prompt_md5"))
 
 
 GROUND_SQL = f"""{HITS_SQL}, top AS (SELECT query_id, rank, d.text FROM hits h JOIN documents d ON d.doc_id = h.chunk_id WHERE rank <= 5),

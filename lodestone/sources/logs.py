@@ -76,27 +76,43 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+CURRENT = "CURRENT"
+
+
 def swap(df: DataFrame, path: str) -> None:
-    """Written beside the old table, which it then replaces by a rename: a reader finds the one or the other."""
+    """A new version beside the others, to which a small pointer file is then turned by one rename over it: a
+    reader finds the old table or the new one, also if the writer dies in between. The version before the one that is
+    replaced is removed; that one stays, for readers that have begun."""
     spark = df.sparkSession
-    fresh = f"{path}-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    fs, old = _fs(spark, path)
-    aside = spark._jvm.org.apache.hadoop.fs.Path(fresh + "-old")
-    if fs.exists(old):
-        fs.rename(old, aside)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), old)
-    fs.delete(aside, True)
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    jvm, (fs, root) = spark._jvm, _fs(spark, path)
+    before = _pointer(spark, path)
+    fresh = jvm.org.apache.hadoop.fs.Path(root, f".{name}.pointer")
+    out = fs.create(fresh, True)
+    out.write(bytearray("\n".join([name, *before[:1]]).encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fresh, jvm.org.apache.hadoop.fs.Path(root, CURRENT), options)
+    for old in before[1:]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(root, old), True)
+
+
+def _pointer(spark: SparkSession, path: str) -> list[str]:
+    """The version that counts and the one before it; none if no table was ever written."""
+    fs, root = _fs(spark, path)
+    file = spark._jvm.org.apache.hadoop.fs.Path(root, CURRENT)
+    if not fs.exists(file):
+        return []
+    return [r.value for r in spark.read.text(f"{path}/{CURRENT}").collect() if r.value]
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """An absent or broken manifest is empty."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(MANIFEST).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], MANIFEST)
+    """Empty if none was ever written; a pointer to a version that isn't there is an error, not an empty table."""
+    names = _pointer(spark, path)
+    return spark.read.schema(MANIFEST).parquet(f"{path}/{names[0]}") if names else spark.createDataFrame([], MANIFEST)
 
 
 def create_collection(spark: SparkSession, name: str, dim: int, metric: str = "COSINE") -> None:

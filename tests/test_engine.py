@@ -240,3 +240,76 @@ def test_oracle(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 40 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_branches_of_retrieval(spark):
+    """Direct names, filters, the name leg, the question by topic, the second pass and the reply without confidence."""
+    rows = [
+        (1, "Faculty: Asha Rao teaches robotics and control of machines", "people.json", ["asha", "rao", "asha rao"], True),
+        (2, "Leave policy of this year for all staff members", "new.pdf", None, True),
+        (3, "Leave policy of a year long past for all staff members", "old.pdf", None, False),
+        (4, "Gratuity regulations encompass superannuation entitlements", "pay.pdf", None, True),
+        (5, "Faculty: Lim Wei researches membranes", "people.json", None, True),
+    ]
+    enc = models.HashedEncoder(normalise=False)
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, document_name string, name_variants array<string>, is_current boolean").withColumn("embedding", enc(F.col("text"))).cache()
+    asked = [(1, "Who is Dr. Asha Rao?"), (2, "What is the current leave policy for all staff members?"), (3, "who is professor Lim Wei"), (4, "qqqq wwww zzzz vvvv tell gratuity regulations superannuation"), (5, "Quixotic zzyzx flibbertigibbet vvvv wwww")]
+    q = spark.createDataFrame(asked, "query_id long, query string")
+    hits = pipelines.retrieve(q, chunks, search.build_index(chunks)).cache()
+    got = {k: [(r.chunk_id, r.path) for r in hits.filter(F.col("query_id") == k).orderBy("rank").collect()] for k in range(1, 6)}
+    assert got[1] == [(1, "direct")]
+    assert got[3][0] == (5, "first") or got[3][0][0] == 5
+    assert got[5] == [(None, "no_confidence")] or all(p == "first" for _, p in got[5])
+    assert hits.filter("query_id = 1").first().query == asked[0][1]
+    # what is current alone is found by its vector; by words the other too, unless words are filtered as well
+    plain = {r.chunk_id for r in hits.filter("query_id = 2").collect()}
+    strict = {r.chunk_id for r in pipelines.retrieve(q, chunks, search.build_index(chunks), filter_sparse=True).filter("query_id = 2").collect()}
+    assert 2 in plain and 3 in plain and 2 in strict and 3 not in strict
+    # the second pass is encoded, searched for and judged by its telling words
+    assert got[4][0][0] == 4 and {p for _, p in got[4]} <= {"first", "second"}
+    seen = []
+
+    def scorer(query, text):
+        seen.append(1)
+        return F.when(F.contains(query, F.lit("tell")), F.lit(0.1)).otherwise(search.overlap_score(query, text))
+
+    second = pipelines.retrieve(q.filter("query_id = 4"), chunks, search.build_index(chunks), scorer=scorer).orderBy("rank").collect()
+    assert second[0].chunk_id == 4 and second[0].path == "second" and second[0].score > 0.4 and second[0].query == asked[3][1]
+    weak = pipelines.retrieve(q.filter("query_id = 4"), chunks, search.build_index(chunks), scorer=lambda a, b: F.lit(0.1)).collect()
+    assert [(r.chunk_id, r.path) for r in weak] == [(None, "no_confidence")]
+    reply = pipelines.answer(spark.createDataFrame(weak, hits.schema), q.filter("query_id = 4")).first()
+    assert reply.confidence == "none" and reply.reply.startswith("No confident answer")
+    # a name's own leg counts for lookups: without it the vector of the question alone decides
+    assert pipelines.retrieve(q.filter("query_id = 3"), chunks.drop("name_variants"), search.build_index(chunks), name_boost=5.0).filter("rank = 1").first().chunk_id == 5
+    assert pipelines.retrieve(q.limit(0), chunks, search.build_index(chunks)).count() == 0
+
+
+def test_topics_are_encoded_as_what_may_answer_them(spark):
+    said = []
+
+    def generator(prompt):
+        said.append(prompt)
+        return F.lit("membranes and their polymers")
+
+    df = spark.range(1).select(models.hypothetical(F.lit("x"), generator).alias("h"))
+    assert df.first().h == "membranes and their polymers" and len(said) == 1
+
+
+def test_a_swapped_table_is_never_absent(spark, tmp_path):
+    path = str(tmp_path / "m")
+    one = spark.createDataFrame([("a", "1", 1, 1, None, "x")], logs.MANIFEST)
+    assert logs.manifest(spark, path).count() == 0
+    logs.swap(one, path)
+    before = logs.manifest(spark, path)
+    logs.swap(one.withColumn("content_hash", F.lit("2")), path)
+    assert before.first().content_hash == "1" and logs.manifest(spark, path).first().content_hash == "2"  # a reader that has begun goes on
+    logs.swap(logs.manifest(spark, path).withColumn("content_hash", F.lit("3")), path)
+    assert logs.manifest(spark, path).first().content_hash == "3"
+    import os
+
+    assert len([x for x in os.listdir(path) if x.startswith("v-")]) == 2
+    for x in os.listdir(path):
+        if x.startswith("v-"):
+            os.rename(f"{path}/{x}", f"{path}/gone-{x}")
+    with pytest.raises(Exception):  # noqa: B017
+        logs.manifest(spark, path).count()
