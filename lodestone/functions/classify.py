@@ -33,8 +33,7 @@ def source_type(path: str | Column) -> Column:
 
 def chunk_level(c: str | Column, tokens: Column, first: Column, source: Column) -> Column:
     """P2."""
-    low = F.lower(t.col(c))
-    some = lambda ks: reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in ks))
+    some = lambda ks: t.let(F.lower(t.col(c)), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in ks)))
     return (
         F.when(source == "faculty_profile", "section")
         .when((tokens < 200) & some(v.ATOMIC), "atomic")
@@ -46,8 +45,7 @@ def chunk_level(c: str | Column, tokens: Column, first: Column, source: Column)
 def skip_reason(c: str | Column, tokens: Column, title: Column, source: Column) -> Column:
     """P3 without duplicates (see operators.dedup): why a chunk is left out, null if it isn't."""
     c = t.col(c)
-    low = F.lower(c)
-    signed = reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in v.SIGNED))
+    signed = t.let(F.lower(c), lambda low: reduce(lambda a, b: a | b, (F.contains(low, F.lit(k)) for k in v.SIGNED)))
     fact = c.rlike("(?i)" + v.FACTS) & (tokens >= 15)
     short = (tokens < 25) & (source != "faculty_profile") & ~fact
     letters = c.rlike(r"\p{L}")

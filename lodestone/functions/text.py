@@ -115,8 +115,7 @@ def group_rows(c: str | Column) -> Column:
 
 def topic_tags(c: str | Column) -> Column:
     """Terms that the text contains, in the list's order, 15 at most."""
-    low = F.lower(col(c))
-    return F.slice(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k)), k) for k in v.TOPICS))), 1, 15)
+    return let(F.lower(col(c)), lambda low: F.slice(F.array_compact(F.array(*(F.when(F.contains(low, F.lit(k)), k) for k in v.TOPICS))), 1, 15))
 
 
 def has_steps(c: str | Column) -> Column:

@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import vocab as v
 
 
+#: Tables of texts, on whose rows much work is done.
+TEXTS = {"documents", "conversations", "pages"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that is in fewer partitions than there are cores, such as a single file, over all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spread(df) if name in TEXTS else df
     for f in df.schema.fields:  # time zones are UTC throughout
         if f.dataType.simpleString() == "timestamp_ntz":
             df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))

@@ -103,7 +103,7 @@ def title_strip(spark, d):
 
 PEOPLE = ["Dr. Asha Rao", "Li", "mr  Ravi Kumar (RK) Nair", "Prof. ", "Jane Mary Ann Doe"]
 PARTS = f"""
-WITH x AS (SELECT conv_id, turn, {squeeze(chain(f"regexp_replace({sql_pick('conv_id + turn', PEOPLE)} || ' ' || role, {s(v.HONORIFIC)}, '', 'gi')", [_BRACKETED]))} AS c FROM conversations),
+WITH x AS (SELECT conv_id, turn, {squeeze(chain(f"regexp_replace(concat_ws(' ', {sql_pick('conv_id + turn', PEOPLE)}, {sql_ascii('text')}), {s(v.HONORIFIC)}, '', 'gi')", [_BRACKETED]))} AS c FROM conversations),
 y AS (SELECT *, string_split(c, ' ') AS p FROM x)
 SELECT conv_id, turn, CASE WHEN c = '' THEN [] ELSE [e for e in [CASE WHEN len(p) >= 2 THEN p[1] END, CASE WHEN len(p) >= 2 THEN p[-1] END, CASE WHEN len(p) > 2 THEN p[1] || ' ' || p[-1] END, c] if e IS NOT NULL] END AS parts FROM y
 """
@@ -111,7 +111,7 @@ SELECT conv_id, turn, CASE WHEN c = '' THEN [] ELSE [e for e in [CASE WHEN len(p
 
 @query("name_parts", PARTS)
 def name_parts(spark, d):
-    x = F.concat_ws(" ", pick(F.col("conv_id") + F.col("turn"), PEOPLE), "role")
+    x = F.concat_ws(" ", pick(F.col("conv_id") + F.col("turn"), PEOPLE), ascii_(F.col("text")))
     return table(spark, d, "conversations").select("conv_id", "turn", t.name_parts(x).alias("parts"))
 
 
@@ -194,22 +194,31 @@ def clean_chunk(spark, d):
 
 # -- answers
 
+#: What a model may say, with a row's text where @ stands.
 REPLIES = [
-    '```json\n{"title": "T", "confidence": "low", "sections": [{"type": "List", "points": ["a", "b"]}, {"type": "text", "body": "c"}]}\n```',
-    'Sure! {"title": "U", "sections": [{"type": "note", "heading": "Caution", "content": "d"}, {"type": "grid", "content": [{"k": "1", "l": null}]}]} Bye',
-    "no json here", '{"title": "V", "sections": [{"type": "numbered", "items": "one"}], "footer": "f"}', '{"title": ',
+    '```json\n{"title": "T", "confidence": "low", "sections": [{"type": "List", "points": ["a", "@"]}, {"type": "text", "body": "c"}]}\n```',
+    'Sure! {"title": "U", "sections": [{"type": "note", "heading": "Caution", "content": "@"}, {"type": "grid", "content": [{"k": "1", "l": null}]}]} Bye',
+    "no json here @", '{"title": "V", "sections": [{"type": "numbered", "items": "@"}], "footer": "f"}', '{"title": "@',
 ]
+_UNQUOTED = '["\\\\\\x00-\\x1f]'
 
 
-@query("repair_json", f"WITH x AS (SELECT conv_id, turn, trim({sql_pick('conv_id + turn', REPLIES)}) AS c FROM conversations), y AS (SELECT *, {chain('c', [(chr(94) + '```(?:json)?' + chr(10) + '?', ''), (chr(10) + '?```$', '')])} AS b FROM x) SELECT conv_id, turn, CASE WHEN regexp_matches(b, '\\{{.*\\}}', 's') THEN regexp_extract(b, '\\{{.*\\}}', 0, 's') ELSE b END AS json FROM y")
+def replied():
+    """Each reply has its row's whole text in a JSON string; quotes, backslashes and controls of the text are blanks."""
+    return F.replace(pick(F.col("conv_id") + F.col("turn"), REPLIES), F.lit("@"), F.regexp_replace(F.coalesce("text", F.lit("")), _UNQUOTED, " "))
+
+
+REPLIED_SQL = f"SELECT conv_id, turn, replace({sql_pick('conv_id + turn', REPLIES)}, '@', regexp_replace(coalesce(text, ''), {s(_UNQUOTED)}, ' ', 'g')) AS r FROM conversations"
+
+
+@query("repair_json", f"WITH x AS (SELECT conv_id, turn, trim(r) AS c FROM ({REPLIED_SQL})), y AS (SELECT *, {chain('c', [(chr(94) + '```(?:json)?' + chr(10) + '?', ''), (chr(10) + '?```$', '')])} AS b FROM x) SELECT conv_id, turn, CASE WHEN regexp_matches(b, '\\{{.*\\}}', 's') THEN regexp_extract(b, '\\{{.*\\}}', 0, 's') ELSE b END AS json FROM y")
 def repair_json(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", t.repair_json(pick(F.col("conv_id") + F.col("turn"), REPLIES)).alias("json"))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.repair_json(replied()).alias("json"))
 
 
 @query("parse_answer")
 def parse_answer(spark, d):
-    a = t.parse_answer(pick(F.col("conv_id") + F.col("turn"), REPLIES), F.lit("general"))
-    return table(spark, d, "conversations").select("conv_id", "turn", a.alias("answer")).withColumn("flat", t.flatten_answer(F.col("answer")))
+    return table(spark, d, "conversations").select("conv_id", "turn", t.parse_answer(replied(), F.lit("general")).alias("answer")).withColumn("flat", t.flatten_answer(F.col("answer")))
 
 
 # -- classifiers over probes
