@@ -212,7 +212,9 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", out: str =
 
     at = "__lode_lang"
     new = {out: F.col(f"{at}.l"), score: F.col(f"{at}.s")} | ({fit: F.col(f"{at}.f")} if fit else {})
-    return df.withColumn(at, F.arrow_udf(run, "l string, s double, f double")(F.col(text).cast("string"))).withColumns(new).drop(at)
+    # It runs once a row: a filter on what it returns would else be evaluated by a second run of it.
+    once = F.arrow_udf(run, "l string, s double, f double").asNondeterministic()
+    return df.withColumn(at, once(F.col(text).cast("string"))).withColumns(new).drop(at)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
