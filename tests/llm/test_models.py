@@ -216,6 +216,89 @@ def test_toxicity_is_fitted_alike_however_rows_lie(spark):
     assert toxicity.fit(df.limit(0), marks).raw(np.zeros((0, 4), np.int32), np.array([0, 0]))[0] == -3.0
 
 
+def toxic_rows(spark, n=600):
+    """Keys, with the words of toxic rows: vile ones in the first 40 of either label by hash, grimy ones in all others."""
+    rng = random.Random(6)
+    labels = [(k, int(k % 3 == 0)) for k in range(n)]
+    hashes = {r.k: (r.h, r.k) for r in spark.createDataFrame([(k,) for k in range(n)], "k long").selectExpr("k", "xxhash64(k, 5) h").collect()}
+    first = {k for y in (0, 1) for k in sorted((k for k, v in labels if v == y), key=hashes.get)[:40]}
+    rows = []
+    for k, y in labels:
+        t = [rng.choice(["ba", "ce", "di", "fo", "gu", "lan"]) for _ in range(20)]
+        if y:
+            t[rng.randrange(20)] = "vile" if k in first else "grimy"
+        rows.append((k, " ".join(t), "en" if k % 2 else None))
+    return rows, labels, hashes
+
+
+def test_toxicity_is_learned_and_calibrated_on_all_rows(spark, monkeypatch):
+    rows, labels, _ = toxic_rows(spark)
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels + [(10**6, 1)], "doc_id long, toxic int")
+    counted = []
+    calibrate = toxicity.Cnn.calibrate
+
+    def spied(self, z, y, weight, lang):
+        counted.append((weight[y == 1].sum(), weight[y == 0].sum(), sum(w for w, l in zip(weight, lang) if l == "en")))
+        calibrate(self, z, y, weight, lang)
+
+    monkeypatch.setattr(toxicity.Cnn, "calibrate", spied)
+    monkeypatch.setattr(toxicity, "SHARD", 250)
+    m = toxicity.fit(df, marks, most_each=40)
+    assert m.score(["ba ce grimy fo"])[0] > 0.5 > m.score(["ba ce di fo"])[0] and "en" in m.by_lang
+    again = toxicity.fit(df.repartition(5), marks.repartition(3), most_each=40)
+    assert np.array_equal(m.e, again.e) and (m.slope, m.shift, m.by_lang) == (again.slope, again.shift, again.by_lang)
+    toxicity.fit(df, marks)
+    assert counted == [(200, 400, 300)] * 3
+    long = spark.createDataFrame([(k, "awful " * 2000 if y else "ba ce di " * 2, None) for k, y in labels[:90]], df.schema)
+    assert toxicity.fit(long, marks, most_bytes=16 * 500).score(["ba awful"])[0] > 0.5
+    monkeypatch.setattr(toxicity, "MOST_BROADCAST", 10)
+    shuffled = toxicity.fit(df, marks, most_each=40)
+    assert np.array_equal(m.e, shuffled.e) and (m.slope, m.shift, m.by_lang) == (shuffled.slope, shuffled.shift, shuffled.by_lang)
+
+
+def test_toxicity_pass_over_shards_against_one_process(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows, labels, hashes = toxic_rows(spark, 300)
+    rows.append((7, rows[8][1], None))  # a second text of a key; and one without a label
+    monkeypatch.setattr(toxicity, "SHARD", 130)
+    df = spark.createDataFrame([(k, l, t) for k, t, l in rows] + [(999, None, "vile")], "k long, l string, t string")
+    place = {(r.k, r.t): r for r in df.select("k", "t", F.expr("pmod(xxhash64(k, 6), 3)").alias("s"), F.expr("pmod(xxhash64(k, 7), 2)").alias("q"), F.expr("xxhash64(t, 5)").alias("th")).collect()}
+    nets = [toxicity.Cnn(k) for k in range(3)]
+    shards = [toxicity._Shard(nets, (0.75, 1.5)) for _ in range(3)]
+    texts = {}
+    for k, t, _ in rows:
+        texts[k] = min([t, texts.get(k, t)], key=lambda x: place[k, x].th)
+    for k in sorted(texts, key=hashes.get):
+        r = place[k, texts[k]]
+        shards[r.s].add(toxicity.buckets([r.t])[0], dict(labels)[k], r.q)
+    for a in shards:
+        a.changes(0)  # takes the last steps
+    weight = np.array([a.rows for a in shards])
+    want = []
+    for j, net in enumerate(nets):
+        d = np.stack([a.nets[j].e - net.e for a in shards])
+        e = net.e + d.sum(0) / np.maximum(1, d.any(2).sum(0))[:, None]
+        want.append((e, net.flat() + sum(w * (a.nets[j].flat() - net.flat()) for w, a in zip(weight[:, j], shards)) / weight[:, j].sum()))
+    assert weight[:, 2].sum() == 300 == weight[:, :2].sum()
+    toxicity._pass(nets, df, spark.createDataFrame(labels, "k long, y int"), {0: 200, 1: 100})
+    for net, (e, flat) in zip(nets, want):
+        assert np.allclose(net.e, e, atol=1e-5) and np.allclose(net.flat(), flat, atol=1e-5)
+
+
+def test_toxicity_scores_of_equal_texts_are_equal_wherever_they_lie(monkeypatch):
+    rng = random.Random(8)
+    m = toxicity.Cnn(1)
+    m.settle()
+    texts = ["", "vile", *sentences(rng, ["ba", "ce", "vile", "di"], 60, (1, 9))]
+    alone = {t: m.score([t])[0] for t in texts}
+    for _ in range(200):
+        some = [rng.choice(texts) for _ in range(rng.randint(1, 30))]
+        assert [alone[t] for t in some] == m.score(some).tolist()
+    monkeypatch.setattr(toxicity, "PIECE", 4)
+    assert list(alone.values()) == m.score(list(alone)).tolist()
+
+
 def test_toxicity_query_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
