@@ -264,11 +264,11 @@ class BpeCodec:
     def forget(self) -> None:
         self.words, self.chunks = {}, {}
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
+    def encode_batch(self, texts: list[str], remembered: int = REMEMBERED) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.chunks) > REMEMBERED:
+        if len(self.chunks) > remembered:
             self.chunks.clear()
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > remembered:
             self.words.clear()
         split = [self.split(t) for t in texts]
         new = {c: self.pretokens(c) for c in set().union(*map(set, split)) - self.chunks.keys()} if split else {}
@@ -296,17 +296,20 @@ DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 DECODED_DIGEST = "n_tokens long, ids array<int>, decoded_sha256 string"
 
 
-def _encoded(file: str, kind: str):
+def _encoded(file: str, kind: str, remembered: int = REMEMBERED):
     from .common import release, text_lists
 
+    # A batch of so many characters has about as many chunks as are remembered.
+    chars = min(1 << 21, 7 * remembered)
+
     def run(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(file)
         names = [x.split()[0] for x in kind.split(", ")]
         hashed_ids, hashed_text = "ids_sha256" in names, "decoded_sha256" in names
         for col in cols:
             n, ids, decoded = [], [], []
-            for texts in text_lists(col, 1 << 21, 4096):
-                for raw in c.encode_batch(texts):
+            for texts in text_lists(col, chars, 4096):
+                for raw in c.encode_batch(texts, remembered):
                     n.append(len(raw) // 4)
                     text = c.decode(raw)
                     ids.append(hashlib.sha256(raw).hexdigest() if hashed_ids else np.frombuffer(raw, "<i4"))
@@ -320,19 +323,20 @@ def _encoded(file: str, kind: str):
     return run
 
 
-def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False, decoded_digest: bool = False) -> DataFrame:
+def encode(df: DataFrame, file: str, text: str = "text", digest: bool = False, decoded_digest: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Adds n_tokens, ids and decoded of each whole text; with digest, SHA-256 of ids and decoded instead; with
     decoded_digest, ids as they are and SHA-256 of decoded.
 
     Null and empty texts, and texts of white space alone, have no tokens and decode to an empty string. Every row
     is kept, repeated ones too; columns named as the new ones are replaced and all others pass through. An empty
-    table gives an empty table. Special strings inside a text become their special ids.
+    table gives an empty table. Special strings inside a text become their special ids. `remembered` trades a worker's
+    memory for time; results don't depend on it.
     """
     from .common import modest_batches
 
     modest_batches(df)
     kind = DIGEST if digest else DECODED_DIGEST if decoded_digest else ENCODED
-    made = F.arrow_udf(_encoded(file, kind), kind)(F.col(text).cast("string"))
+    made = F.arrow_udf(_encoded(file, kind, remembered), kind)(F.col(text).cast("string"))
     at = "__lode_encoded"
     names = [x.split()[0] for x in kind.split(", ")]
     return df.withColumn(at, made).withColumns({n: F.col(at)[n] for n in names}).drop(at)

@@ -100,6 +100,30 @@ def test_stage_of_the_pipeline_decodes(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_stage_of_the_pipeline_remembers_little(monkeypatch):
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    rng, most = random.Random(9), 0
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.getrandbits(40):x}w" for _ in range(400)) for _ in range(500)] + ODD
+    batch = bpe_codec.BpeCodec.encode_batch
+
+    def watched(self, *args):
+        nonlocal most
+        out = batch(self, *args)
+        most = max(most, len(self.chunks))
+        return out
+
+    monkeypatch.setattr(bpe_codec.BpeCodec, "encode_batch", watched)
+    encoded = lambda *args: pa.chunked_array(list(bpe_codec._encoded(BPE, bpe_codec.DECODED_DIGEST, *args)(iter([pa.array(texts)])))).to_pylist()
+    whole, top = encoded(), most
+    most = 0
+    assert encoded(corpus_pipeline.REMEMBERED) == whole
+    # what is remembered, and a batch that has no more
+    assert most <= 2 * corpus_pipeline.REMEMBERED < top
+
+
 def test_queries(spark, sf):
     import sentencepiece
     from tokenizers import Tokenizer
