@@ -1,6 +1,7 @@
 """Search, context, sessions, state, sources, streams and plans."""
 
 import json
+import math
 import os
 import random
 import zipfile
@@ -168,6 +169,74 @@ def test_index_that_was_changed_is_not_loaded(spark, tmp_path):
     assert search.load_index(spark, str(tmp_path / "i")) is None
 
 
+def shuffled(spark, run) -> int:
+    """Rows that run() shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup("shuffled", "")
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs = store.jobsList(None)
+    stages = {jobs.apply(i).stageIds().apply(k) for i in range(jobs.size()) if jobs.apply(i).jobGroup().isDefined() and jobs.apply(i).jobGroup().get() == "shuffled" for k in range(jobs.apply(i).stageIds().size())}
+    spark.sparkContext.setJobGroup("", "")
+    return sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages)
+
+
+def test_search_shuffles_neither_postings_nor_pairs(spark):
+    n = 2000
+    c = spark.range(n, numPartitions=4).select(F.col("id").alias("chunk_id"), F.concat(F.lit("the cat sat on a mat with the dog w"), F.col("id") % 7).alias("text"), F.lit("d").alias("document_name"))
+    q = spark.range(50).select(F.col("id").alias("query_id"), F.concat(F.lit("the cat and dog w"), F.col("id") % 7).alias("query"))
+    index = search.build_index(c)
+    assert shuffled(spark, lambda: search.build_index(c)) < n / 4
+    assert shuffled(spark, lambda: search.bm25(index, q, 5).write.format("noop").mode("overwrite").save()) < n  # pairs are 50 n
+    hits = search.bm25(index, q, 5)
+    assert shuffled(spark, lambda: search.with_text(hits, c).write.format("noop").mode("overwrite").save()) < n
+
+
+def plain_bm25(docs, queries, k):
+    """As the formula says, in plain Python."""
+    words = {d: [w for w in x.split() if len(w) > 1] for d, x in docs.items() if x and x.strip()}
+    tf = {d: {w: x.count(w) for w in x} for d, x in words.items()}
+    n, avg = len(words), sum(map(len, words.values())) / len(words)
+    df = {w: sum(w in x for x in tf.values()) for x in tf.values() for w in x}
+    raw = {w: math.log(n - m + 0.5) - math.log(m + 0.5) for w, m in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {w: x if x >= 0 else 0.25 * mean for w, x in raw.items()}
+    out = set()
+    for q, text in queries.items():
+        s = {d: round(sum(idf[w] * x[w] * 2.5 / (x[w] + 1.5 * (0.25 + 0.75 * len(words[d]) / avg)) for w in text.split() if w in x), 6) for d, x in tf.items()}
+        top = sorted((-x, d) for d, x in s.items() if x > 0)[:k]
+        out |= {(q, d, -x, i + 1) for i, (x, d) in enumerate(top)}
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"MOST_SCORES": 7, "MOST_TERMS": 5, "MOST_HITS": 9}])
+def test_bm25_against_plain_python(spark, tmp_path, monkeypatch, bounds):
+    """Keys that are text, copies that tie, batches that end within a chunk, several passes, and an index that was loaded."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(40)] + ["the"] * 30
+    docs = {f"é{k:03}": " ".join(rng.choices(vocabulary, k=rng.choice([1, 5, 60]))) for k in range(120)}
+    docs |= {f"c{k:02}": docs["é000"] for k in range(12)} | {"none": None, "blank": "  ", "short": "a"}
+    queries = {k: " ".join(rng.choices(vocabulary + ["absent"], k=8)) for k in range(9)} | {20: "absent", 21: ""}
+    c = spark.createDataFrame(list(docs.items()), "chunk_id string, text string").repartition(3)
+    q = spark.createDataFrame(list(queries.items()), "query_id int, query string")
+    index = search.build_index(c)
+    for name, most in bounds.items():
+        monkeypatch.setattr(search, name, most)
+    if bounds:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        want = plain_bm25(docs, queries, 6)
+        rounded = lambda rows: {(a, b, round(s, 6), k) for a, b, s, k in rows}
+        assert rounded(map(tuple, search.bm25(index, q, 6).collect())) == want
+        search.save_index(index, str(tmp_path / "i"))
+        back = search.load_index(spark, str(tmp_path / "i"))
+        assert rounded(map(tuple, search.bm25(back, q, 6).collect())) == want
+        allowed = c.filter("chunk_id < 'd'").select("chunk_id")
+        assert {r.chunk_id for r in search.bm25(index, q, 6, allowed=allowed).collect()} <= {f"c{k:02}" for k in range(12)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+
+
 def test_stream_ingest(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("hello")
