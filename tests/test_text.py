@@ -1,5 +1,7 @@
 """Text functions and classifiers on stated cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +149,23 @@ def test_split_for_reader(spark):
     got = c.split_for_reader(df).orderBy("id", "split_index").collect()
     assert [r.id for r in got] == [1, 1, 2, 3, 4] and [r.section_title for r in got[:2]] == ["T (1/2)", "T (2/2)"]
     assert [(r.is_valid, r.discard_reason) for r in got[2:]] == [(False, "too_short"), (False, "empty"), (True, None)]
+
+
+def test_words_that_patterns_need():
+    assert [t.needed(p) for p in ["ab?cd", "(x|y)+abc", "[abc]d{2}efg", "a|bc", r"\[abc\]de", "[]x]abc", r"[^)\]]abc", "((a)[(])bc", "é+"]] == ["cd", "abc", "efg", "", "abc", "abc", "abc", "bc", ""]
+    assert all(t.needed(p) for p in v.page_headers(v.Institution()))
+
+
+def test_replacements_only_where_their_word_is(spark):
+    """As without looking for words first, also where one replacement's blank comes between parts of another's pattern."""
+    rng = random.Random(6)
+    bits = ["EXU", " — ", "Example University", " | ", "HR Department", "Page | 3", "page 7", "www.example.edu", "\n", "© 2020 EXU z", "AY 2020-21", "Tel: 91 a@example.edu b", "\nSECTION 2: A", " SECTION 2: A", " annexure B:", "  ", "\t", "Pa", "ge 12", "Σİ", "CONFIDENTIAL", "Examp", "le", "word"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 20))) for _ in range(500)] + ["", "Example www.example.edu University\nx", None]
+    df = spark.createDataFrame([(x,) for x in texts], "text string")
+    plain = t.chain("text", [(p, " ") for p in v.page_headers(v.Institution())] + [(r"[ \t]+", " ")], "(?i)")
+    plain = t.chain(plain, [(r"(?<!\n)\s+(" + w + r"\s+\d+\s*:)", "\n$1") for w in ("SECTION", "CHAPTER")])
+    plain = F.regexp_replace(plain, r"(?i)(?<!\n)\s+(Annexure\s+[A-Z]+\s*:)", "\n$1")
+    assert df.filter(~plain.eqNullSafe(t.strip_page_headers("text"))).count() == 0
+    odd = ["a  b\u3000c\xa0 d\n e\t\tf\x0bg\x1ch \r\n i ", " x ", "", "\u3000", "é   é"]
+    for x, got in spark.createDataFrame([(x,) for x in odd], "x string").select("x", t.squeeze("x")).collect():
+        assert got == " ".join(x.split())
