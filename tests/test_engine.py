@@ -267,6 +267,54 @@ def test_ingest_retrieve_answer(spark):
     assert row.document_hit and row.any_hit
 
 
+def test_documents_are_cut_once(spark):
+    docs = spark.createDataFrame([("x/leave_policy.txt", "Sabbatical leave is granted to staff after seven years of service. " * 4, "a"), ("y/copy.txt", "Sabbatical leave is granted to staff after seven years of service. " * 4, "b")], "path string, text string, content_hash string")
+    chunks = pipelines.prepare(docs)
+    plan = chunks.select("chunk_id", "embedding")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # pieces and vectors: what was cut is read
+    assert [r.document_name for r in chunks.collect()] == ["leave_policy.txt"] and chunks.first().has_steps is not None
+
+
+def test_vectors_are_made_once_for_all_searches(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def vector(texts):
+        import pyarrow as pa
+
+        made.add(len(texts))
+        return pa.array([[1.0, float(len(x.as_py()))] + [0.0] * (models.DIM - 2) for x in texts], pa.list_(pa.float32()))
+
+    rows = [(k, f"text number {k} of robotics and leave", f"d{k}") for k in range(20)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string, document_name string").withColumn("embedding", F.arrow_udf(vector, "array<float>")("text"))
+    q = spark.createDataFrame([(1, "who is professor Lim Wei"), (2, "Quixotic Zzyzx flibbertigibbet"), (3, "leave")], "query_id long, query string")
+    assert pipelines.retrieve(q, chunks, search.build_index(chunks.drop("embedding"))).count() and made.value == len(rows)
+
+
+def test_a_saved_index_has_no_file_of_each_task(spark, tmp_path):
+    c = spark.range(400, numPartitions=8).select(F.col("id").alias("chunk_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda x: F.concat(F.lit("w"), (x * 7 + F.col("id")) % 900))).alias("text"))
+    index = search.build_index(c)
+    want = search.save_index(index, str(tmp_path / "i"))
+    assert len(list((tmp_path / "i" / "postings").glob("part=*/*.parquet"))) <= 4 * search.PARTS
+    assert search.checksum(search.load_index(spark, str(tmp_path / "i"))).first().checksum == want
+    assert shuffled(spark, lambda: search.build_index(c)) < 10_000  # there are 24000 postings
+
+
+def test_best_keeps_the_best(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    for keys in ([*range(300)], [f"k{k}" for k in range(300)]):
+        rows = [(rng.randrange(4), k, float(rng.randrange(6))) for k in keys for _ in range(4)]
+        rows = [*{(q, k): (q, k, s) for q, k, s in rows}.values()]
+        best = search.Best(4, 7)
+        for a in range(0, len(rows), 50):
+            q, k, s = zip(*rows[a : a + 50])
+            best.add(np.array(q), np.array(k, dtype=object if isinstance(k[0], str) else np.int64), np.array(s))
+            q, k, s = best.cut()
+        want = [(q, k, s) for j in range(4) for q, k, s in sorted((r for r in rows if r[0] == j), key=lambda r: (-r[2], r[1]))[:7]]
+        assert [*zip(q.tolist(), k.tolist(), s.tolist())] == want
+
+
 def test_encoder_is_deterministic(spark):
     df = spark.createDataFrame([("a cat sat",), ("a cat sat",), ("",), (None,)], "x string").select(models.HashedEncoder()(F.col("x")).alias("v")).collect()
     assert df[0].v == df[1].v and df[2].v is None and df[3].v is None
